@@ -386,7 +386,7 @@ def test_jaccard_pairs(spark):
 
 
 def test_deduplicate(spark):
-    rows = [*near_rows(80), (5, near_rows(80)[5][1], "en", "s", 1), (0, near_rows(80)[0][1], "en", "s", 1), *documents(3)]
+    rows = [*near_rows(80), (5, near_rows(80)[5][1], "en", "s", 1), (0, near_rows(80)[0][1], "en", "s", 1), *documents(8)]
     df = crowded(frame(spark, rows))
     left = jaccard.deduplicate(df)
     assert left.columns == df.columns

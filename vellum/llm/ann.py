@@ -55,7 +55,7 @@ class CrossPolytope:
         self.dim, self.top, self.bits = dim, top, bits
         self.width = 1 << (dim + self.grow - 1).bit_length()
         whole = self.width.bit_length()  # log2 of the 2 * width signed axes
-        self.axes = [self.width] * (bits // whole) + [1 << (bits % whole - 1)] * (bits % whole > 0)
+        self.axes = [self.width] * (bits // whole) + ([1 << (bits % whole - 1)] if bits % whole else [])
         self.signs = np.random.default_rng([seed, dim]).choice([-1.0, 1.0], (TABLES, len(self.axes), 3, self.width))
 
     def _rotated(self, x: np.ndarray, query: bool) -> Iterator[tuple[int, int, np.ndarray]]:
