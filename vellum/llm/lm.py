@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from vellum.llm._shared import keep, mix, slices, text_bytes, words
 from vellum.llm.eliasfano import EliasFano, Trie
 
-DISCOUNT, BATCH, SHARD, CHUNK, HEAVY = 0.75, 1_500_000, 1_500_000, 1 << 21, 1024
+DISCOUNT, BATCH, SHARD, CHUNK, HEAVY = 0.75, 600_000, 750_000, 1 << 20, 1024
 START, END = np.uint64(0x51A7_0000_0000_0001), np.uint64(0xE4D0_0000_0000_0003)
 _SHORT = np.uint64((1 << 48) - 1)
 _codec = pa.Codec("zstd", compression_level=1)
