@@ -5,6 +5,9 @@ each weighing log(1 + count), scaled to unit length. One weight vector serves al
 cut its score: P(grade > j) = sigmoid(w.x - t_j), t_0 < t_1 < ... . Their sum over j is the expected grade;
 P(grade >= g) is the tail probability by which documents are selected.
 
+Only features whose share of texts differs clearly between grades are fitted, and weights are at most 0: a
+text loses grade by what it has, not by what it lacks, so short texts and unknown words do no harm.
+
 Grades from labels: 0 poor, 1 fair but toxic, 2 clean. The model is fitted on at most ``SAMPLE`` labelled
 documents of each grade (those of least id hash), found through a join with the bounded sample of labels,
 so texts are not shuffled; only their features reach the driver. Scoring covers every document, with the
@@ -92,6 +95,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
+def informative(name: np.ndarray, grade: np.ndarray, texts: np.ndarray, least: float = 6.0) -> np.ndarray:
+    """Features whose share of texts differs between two grades by ``least`` standard errors. Without the others a text of
+    few or unknown words scores 0, as most clean texts do, instead of what chance gave its words."""
+    share = np.stack([np.bincount(name[grade == g], minlength=DIMENSIONS) / max(n, 1) for g, n in enumerate(texts)])
+    out = np.zeros(DIMENSIONS, bool)
+    for a in range(GRADES):
+        for b in range(a):
+            if texts[a] and texts[b]:
+                pooled = (share[a] * texts[a] + share[b] * texts[b]) / (texts[a] + texts[b])
+                error = np.sqrt(pooled * (1 - pooled) * (1 / texts[a] + 1 / texts[b]))
+                out |= (np.abs(share[a] - share[b]) > least * error) & (error > 0)
+                out |= (error == 0) & (share[a] != share[b])
+    return np.flatnonzero(out)
+
+
 def fit(names: list[np.ndarray], weights: list[np.ndarray], grades: np.ndarray, rounds: int = 300, ridge: float = 1e-5) -> Model:
     """Maximum likelihood with a ridge, by Adam over the whole sample; grades weigh equally."""
     seen = np.unique(grades)
@@ -99,12 +117,15 @@ def fit(names: list[np.ndarray], weights: list[np.ndarray], grades: np.ndarray,
         return Model(np.zeros(DIMENSIONS, np.float32), np.zeros(GRADES - 1), int(seen[0]) if len(seen) else GRADES - 1)
     n = len(grades)
     row = np.repeat(np.arange(n), [len(x) for x in names])
-    columns, name = np.unique(np.concatenate(names), return_inverse=True)
-    value = np.concatenate(weights).astype(np.float64)
+    every, value = np.concatenate(names), np.concatenate(weights).astype(np.float64)
+    told = informative(every, grades[row], np.bincount(grades, minlength=GRADES))
+    some = np.isin(every, told)
+    row, value = row[some], value[some]
+    columns, name = np.unique(every[some], return_inverse=True)
     share = (1 / np.bincount(grades, minlength=GRADES).clip(1))[grades] / len(seen)
     # thresholds: the first, then the logarithms of the steps
     p = np.zeros(len(columns) + GRADES - 1)
-    p[len(columns)] = -1.0
+    p[len(columns)] = -4.0
     first, second = np.zeros_like(p), np.zeros_like(p)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, rounds + 1):
@@ -123,7 +144,8 @@ def fit(names: list[np.ndarray], weights: list[np.ndarray], grades: np.ndarray,
         gradient = np.concatenate([np.bincount(name, by_score[row] * value, minlength=len(columns)) + ridge * w, [by_t.sum()], np.cumsum(by_t[::-1])[::-1][1:] * np.exp(logs)])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        p = p - 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        p = p - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
+        p[: len(columns)] = np.minimum(p[: len(columns)], 0)
     out = np.zeros(DIMENSIONS, np.float32)
     out[columns] = p[: len(columns)]
     return Model(out, p[len(columns)] + np.concatenate([[0], np.cumsum(np.exp(p[len(columns) + 1 :]))]))
