@@ -82,6 +82,17 @@ def test_quality_features_by_hand():
     row, name, weight = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     assert len(name) == 4 and math.isclose(float((weight.astype(float) ** 2).sum()), 1, rel_tol=1e-6)  # ab (twice), !!, xy, capitals
 
+def test_quality_repeated_words():
+    words = "go go go go go go stop, stop, stop, stop, stop, a a a a".split(" ")
+    units = [u for w in words for u in ([w[:-1], ","] if w.endswith(",") else [w])]
+    h = np.array([hash(u) % (1 << 62) for u in units], np.uint64)
+    word = np.array([u != "," for u in units])
+    row = np.zeros(len(units), np.int64)
+    assert quality.repeated(h, row, word).sum() == 3  # the 5th and 6th go, the 5th stop
+    row[3:] = 1
+    assert quality.repeated(h, row, word).sum() == 1  # runs end with their text
+    assert not quality.repeated(h[:2], row[:2], word[:2]).any()
+
 
 # --- language
 

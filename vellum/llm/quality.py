@@ -1,7 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Texts become hashed features: words (A-Z as a-z), runs of punctuation, and a feature for words in capitals,
-each weighing log(1 + count), scaled to unit length. One weight vector serves all grades; ordered thresholds
+Texts become hashed features: words (A-Z as a-z), runs of punctuation, a feature for words in capitals and one
+for a word's fifth and later time in a row (each time with the same punctuation, or none, between), each
+weighing log(1 + count), scaled to unit length. One weight vector serves all grades; ordered thresholds
 cut its score: P(grade > j) = sigmoid(w.x - t_j), t_0 < t_1 < ... . Their sum over j is the expected grade;
 P(grade >= g) is the tail probability by which documents are selected.
 
@@ -41,13 +42,24 @@ _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(or
 _UPPER, _SMALL = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
 _UPPER[ord("A") : ord("Z") + 1] = 1
 _SMALL[ord("a") : ord("z") + 1] = 1
-_CAPITALS = np.uint32(12345 % DIMENSIONS)
+_CAPITALS, _AGAIN = np.uint32(12345), np.uint32(54321)
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(quality.isNull(), None).when(F.coalesce(toxic, F.lit(0)) == 1, 1).otherwise(2)
 
 
+def repeated(h: np.ndarray, row: np.ndarray, word: np.ndarray, times: int = 5) -> np.ndarray:
+    """Which units are a word for at least the ``times``-th time in a row, one or two units apart, within a text."""
+    out = np.zeros(len(h), bool)
+    for apart in (1, 2):
+        far = (times - 1) * apart
+        if len(h) > far:
+            same = (h[apart:] == h[:-apart]) & (row[apart:] == row[:-apart])
+            out[far:] |= word[far:] & np.logical_and.reduce([same[k * apart : k * apart + len(h) - far] for k in range(times - 1)])
+    return out
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and weight of the features of some texts; rows ascend."""
     kind = _WORD[data]
@@ -63,7 +75,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     name = (mix(h) % np.uint64(DIMENSIONS)).astype(np.uint32)
     row = np.searchsorted(offsets, starts, side="right") - 1
     capital = (np.add.reduceat(_UPPER[data], starts, dtype=np.int64) > 1) & (np.add.reduceat(_SMALL[data], starts, dtype=np.int64) == 0)
-    key = np.concatenate([row * DIMENSIONS + name, row[capital] * DIMENSIONS + _CAPITALS])
+    again = repeated(h, row, kind[starts] == 2)
+    key = np.concatenate([row * DIMENSIONS + name, row[capital] * DIMENSIONS + _CAPITALS, row[again] * DIMENSIONS + _AGAIN])
     key, n = np.unique(key, return_counts=True)
     row, name, weight = key // DIMENSIONS, (key % DIMENSIONS).astype(np.uint32), np.log1p(n)
     norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(offsets) - 1))
