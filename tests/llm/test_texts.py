@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,3 +425,14 @@ def test_components(spark):
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == closure([e for e in edges if e[0] != e[1]], nodes)
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_pieces_joined_at_once():
+    known = pieces.Pieces.load(catalog.VOCABULARY)
+    texts = ["", "a", "été  \n", "gone", "多 x"]
+    ids, bounds = pieces.sample(known, texts, np.arange(len(texts), dtype=np.uint64))
+    listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array([t == "gone" for t in texts]))
+    want = [None if x is None else pieces.join(known, x) for x in listed.to_pylist()]
+    table = pa.array(known.out, pa.large_binary())
+    assert pieces.join_all(table, listed) == want == [None if t == "gone" else t for t in texts]
+    assert pieces.join_all(table, listed.slice(1, 3)) == want[1:4] and pieces.join_all(table, listed.slice(0, 0)) == []

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,6 +212,17 @@ def join(pieces: Pieces, ids: list[int]) -> str:
     return b"".join([pieces.out[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+def join_all(table: pa.LargeBinaryArray, listed: pa.ListArray) -> list[str | None]:
+    """``join`` of each list of ids, None for null; the pieces of all lists are gathered at once from ``table``."""
+    lengths = np.where(listed.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(), 0)
+    got = table.take(listed.flatten())
+    offsets = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1] if len(got) else np.zeros(1, np.int64)
+    data = memoryview(got.buffers()[2] or b"")
+    ends = offsets[np.concatenate([[0], np.cumsum(lengths)])]
+    told = zip(ends[:-1].tolist(), ends[1:].tolist(), listed.is_valid().to_pylist(), strict=True)
+    return [str(data[a:b], "utf-8", "surrogatepass")[1:] if valid else None for a, b, valid in told]
+
+
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -249,11 +261,11 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     at, given = encoded.columns.index("pieces"), encoded.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = given.value
+        table = pa.array(given.value.out, pa.large_binary())
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                texts = [None if ids is None else join(known, ids) for ids in part.column(at).to_pylist()]
+                texts = join_all(table, part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
