@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from vellum.functions import query as Q
 from vellum.functions import signals as S
+from vellum.functions import spans, tables
 from vellum.functions import text as X
-from vellum.operators import evaluation, ranking, search, store
-from vellum.sources import chunking
+from vellum.operators import evaluation, indexing, ranking, search, store
+from vellum.sources import blocks, chunking
 from vellum.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,6 +633,97 @@ def subset_topn_docs(spark, sf_dir):
     return docs.join(F.broadcast(most), "source").select("doc_id", "source", at.alias("pos")).filter("pos <= 7")
 
 
+# --- blocks, tables, spans, indexing
+
+
+def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.typed_blocks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def text_parser_blocks(spark, sf_dir):
+    return blocks.exploded(parsed_blocks(spark, sf_dir))
+
+
+@query()
+def block_clean(spark, sf_dir):
+    return blocks.exploded(blocks.clean(parsed_blocks(spark, sf_dir)))
+
+
+@query()
+def block_content(spark, sf_dir):
+    return blocks.content(blocks.clean(parsed_blocks(spark, sf_dir)))
+
+
+@query()
+def block_chunks(spark, sf_dir):
+    return blocks.block_chunks(blocks.clean(parsed_blocks(spark, sf_dir)))
+
+
+@query()
+def numeric_evidence(spark, sf_dir):
+    return spans.numeric_evidence(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def highlight_spans(spark, sf_dir):
+    """Every word of a document's language name and source in its text."""
+    docs = table(spark, sf_dir, "documents").withColumn("terms", F.array_compact(F.array("lang", "source")))
+    return spans.highlight(docs, "doc_id", "text", "terms")
+
+
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_key, t: the lines of each order as a table with pipes."""
+    cells = F.concat_ws(" | ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("row")))).alias("l"))
+    return lines.select(F.col("l_orderkey").alias("order_key"), F.concat(F.lit("line | part | flag | state\n"), F.array_join(F.col("l.row"), "\n")).alias("t"))
+
+
+@query("""SELECT l_orderkey AS order_key, string_agg('line=' || l_linenumber || ' | part=' || l_partkey || ' | flag=' || l_returnflag || ' | state=' || l_linestatus, chr(10)
+    ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS rows, count(*) + 1 AS n_rows FROM lineitem GROUP BY 1""")
+def table_linearize(spark, sf_dir):
+    parsed = order_tables(spark, sf_dir).select("order_key", tables.rows(F.col("t")).alias("p"))
+    names = F.get("p", 0)
+    body = F.transform(F.slice("p", F.lit(2), F.size("p")), lambda r: tables.linear(r, names))
+    return parsed.select("order_key", F.array_join(body, "\n").alias("rows"), F.size("p").cast("long").alias("n_rows"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS content_hash FROM documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content_hash"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host, octet_length(encode(html))::BIGINT AS n_bytes FROM pages")
+def url_scan(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
+@query("SELECT doc_id, coalesce(source, 'unknown') AS title, coalesce(lang, '') AS lang, length(coalesce(text, ''))::BIGINT AS n FROM documents ORDER BY doc_id DESC")
+def doc_list(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("title"), F.coalesce("lang", F.lit("")).alias("lang"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).orderBy(F.desc("doc_id"))
+
+
+@query("SELECT conv_id, count(*) AS messages, count(*) >= 12 AS wants_summary FROM conversations GROUP BY 1")
+def session_summary_trigger(spark, sf_dir):
+    return store.sessions(table(spark, sf_dir, "conversations")).select("conv_id", "messages", "wants_summary")
+
+
+@query("""WITH c AS (SELECT doc_id, md5(text) AS chunk_hash, doc_id % 3 AS part FROM documents WHERE text IS NOT NULL), kept AS (SELECT * FROM c WHERE part <> 0)
+    SELECT doc_id, chunk_hash, chunk_hash IN (SELECT chunk_hash FROM c WHERE part <> 2) AS had_vector FROM kept""")
+def index_incremental(spark, sf_dir):
+    """An index over parts 0 and 1 of the documents takes part 2 and loses part 0; each chunk is a whole text here."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    chunks = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"), F.md5("text").alias("chunk_hash"))
+    held, gone = chunks.filter("doc_id % 3 <> 2"), F.lit(None).cast("string")
+    vectors = indexing.embed(held)
+    fresh = chunks.filter("doc_id % 3 = 2").unionByName(held.filter("doc_id % 3 = 0").withColumns({"chunk_text": gone, "chunk_hash": gone}))
+    after, embedded = indexing.index(held, vectors, fresh)
+    had = held.select("chunk_hash").distinct().withColumn("had_vector", F.lit(True))
+    used = after.join(embedded.select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+    return used.join(had, "chunk_hash", "left").select("doc_id", "chunk_hash", F.coalesce("had_vector", F.lit(False)).alias("had_vector"))
+
+
 # --- streams
 
 
