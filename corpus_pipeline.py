@@ -19,10 +19,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).filter("tail >= 0.5").select(*docs.columns)
 
 
+#: Least lead of a text's language over the next (a quarter of another language halves it), most misfit, and the probability from which a text contradicts its lang.
+LEAST_LEAD, MOST_MISFIT, CONTRADICTS = 0.5, 0.5, 0.99
+
+
+def judge_language(docs: DataFrame, model: langid.Model) -> DataFrame:
+    """``docs`` with lang_pred, score, lead, misfit and why: what speaks against a document's language, null where nothing does.
+
+    und: no words of letters, or no language of probability one half. other: surely another language than its lang.
+    mixed: the language leads by less than half of what a text of it does. unknown: it fits none."""
+    known = langid.predict(docs.withColumn("_raw", F.col("text")).withColumn("text", langid.words_only(F.col("text"))), model, evidence=True)
+    why = (
+        F.when((F.col("lang_pred") == "und") | (F.col("score") < 0.5), "und")
+        .when(F.col("misfit") > MOST_MISFIT, "unknown")
+        .when(F.col("lead") < LEAST_LEAD, "mixed")
+        .when((F.col("lang_pred") != F.col("lang")) & (F.col("score") >= CONTRADICTS), "other")
+    )
+    return known.withColumn("why", why).withColumn("text", F.col("_raw")).drop("_raw")
+
+
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told with a probability of one half at least."""
-    known = langid.predict(docs, langid.train(docs))
-    return known.filter("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    """Documents with nothing against their language, by a model of all documents' lang."""
+    return judge_language(docs, langid.train(docs)).filter("why IS NULL").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

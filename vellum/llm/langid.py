@@ -16,14 +16,16 @@ through untouched; those named like the results are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS, ORDERS, SMOOTHING, CHUNK, MOST_LANGUAGES = 1 << 15, 3, 0.5, 1 << 19, 1000
+DOUBT = 3.0  # deviations that a text's evidence may lack
 _FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -90,16 +92,56 @@ class Model:
     def __init__(self, languages: list[str], prior: np.ndarray, table: np.ndarray):
         self.languages, self.prior, self.table = languages, prior, table
 
-    def posterior(self, texts: list[str | None]) -> np.ndarray:
-        total = np.tile(self.prior, (len(texts), 1))
+    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text in each language, with the prior, and the number of its n-grams."""
+        total, grams = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts))
         for points, rows, bounds in _chunks(texts):
             for bucket, whole in _buckets(points, bounds):
+                np.add.at(grams, rows, np.add.reduceat(whole, bounds[:-1], dtype=np.float64))
                 bucket = np.where(whole, bucket, BUCKETS)
                 for lang in range(len(self.languages)):
                     np.add.at(total[:, lang], rows, np.add.reduceat(self.table[lang].take(bucket), bounds[:-1], dtype=np.float64))
-        total -= total.max(1, keepdims=True)
-        total = np.exp(total)
-        return total / total.sum(1, keepdims=True)
+        return total, grams
+
+    def posterior(self, texts: list[str | None]) -> np.ndarray:
+        return _shares(self.totals(texts)[0])
+
+    @cached_property
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihood a n-gram of texts of each language (row) in each (column) by the model itself, its deviation,
+        and the mean and deviation of the row's lead over the column."""
+        logs = self.table[:, :-1].astype(np.float64)
+        shares = np.exp(logs)
+        shares /= shares.sum(1, keepdims=True)
+        mean, square = shares @ logs.T, shares @ (logs**2).T
+        own, own_square = np.diag(mean), np.diag(square)
+        lead = own[:, None] - mean
+        both = np.array([(p * x) @ logs.T for p, x in zip(shares, logs, strict=True)])
+        return mean, np.sqrt(np.maximum(own_square - own**2, 0)), lead, np.sqrt(np.maximum(own_square[:, None] + square - 2 * both - lead**2, 0))
+
+    def evidence(self, total: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lead and misfit of each text, a n-gram, so neither saturates with length; both benefit from the doubt a short text leaves.
+
+        Lead: that of the best language over the next, 1 as in a text of one language, 1 - 2 f if a share f is in the next.
+        Misfit: 0 as in a text of the best language, 1 as in one of the language most like it."""
+        mean, spread, lead, lead_spread = self.expected
+        each = (total - self.prior) / np.maximum(grams, 1)[:, None]
+        order, at = np.argsort(-each, axis=1, kind="stable"), np.arange(len(each))
+        best = order[:, 0]
+        doubt = DOUBT * np.sqrt(ORDERS / np.maximum(grams, 1))  # the orders overlap
+        if len(self.languages) < 2:
+            return np.ones(len(each)), np.zeros(len(each))
+        after = order[:, 1]
+        wanted = lead[best, after]
+        leads = np.where(wanted > 0, (each[at, best] - each[at, after] + doubt * lead_spread[best, after]) / np.where(wanted > 0, wanted, 1), 1.0)
+        apart = np.diag(mean)[:, None] - mean.T  # [b, y]: how much less a text of y fits b than one of b does
+        apart = np.where(np.eye(len(apart), dtype=bool) | (apart <= 0), np.inf, apart).min(1)
+        return leads, (mean[best, best] - each[at, best] - doubt * spread[best]) / apart[best]
+
+
+def _shares(total: np.ndarray) -> np.ndarray:
+    total = np.exp(total - total.max(1, keepdims=True))
+    return total / total.sum(1, keepdims=True)
 
 
 def train(labelled: DataFrame) -> Model:
@@ -127,31 +169,40 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, prior, np.array(tables))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score, the posterior probability of that language."""
-    docs = docs.drop("lang_pred", "score")
+def words_only(text: Column) -> Column:
+    """Words of letters: those with digits, @ or _ go (numbers, addresses, keys), and all punctuation, which no language owns."""
+    return F.regexp_replace(F.regexp_replace(text, r"\S*[\p{N}@_]\S*", " "), r"[^\p{L}\p{M}\s]+", "")
+
+
+def predict(docs: DataFrame, model: Model, evidence: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, the posterior probability of that language; with ``evidence`` also lead and misfit (see ``Model.evidence``), 0 where ``und``."""
+    more = ["lead", "misfit"] if evidence else []
+    docs = docs.drop("lang_pred", "score", *more)
     told = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     given = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(x, T.DoubleType()) for x in more)])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = given.value
         for batch in batches:
             letters = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = ["und"] * len(letters), np.zeros(len(letters))
+            names, scores, told = ["und"] * len(letters), np.zeros(len(letters)), np.zeros((len(more), len(letters)))
             some = [i for i, x in enumerate(letters) if x and known.languages]
             if some:
                 texts = batch.column(at).take(pa.array(some)).to_pylist()
-                sure = known.posterior(texts)
+                total, grams = known.totals(texts)
+                sure = _shares(total)
+                if more:
+                    told[:, some] = known.evidence(total, grams)
                 best = sure.argmax(1)
                 scores[some] = sure[np.arange(len(some)), best]
                 for i, b in zip(some, best.tolist(), strict=True):
                     names[i] = known.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], schema=_arrow(batch, len(letters)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), *map(pa.array, told)], schema=_arrow(batch, len(letters)))
 
     def _arrow(batch: pa.RecordBatch, n: int) -> pa.Schema:
-        return pa.schema([*list(batch.schema)[:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
+        return pa.schema([*list(batch.schema)[:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), *(pa.field(x, pa.float64()) for x in more)])
 
     return told.mapInArrow(run, schema)
 
