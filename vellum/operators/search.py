@@ -42,6 +42,59 @@ def fulltext(chunks: DataFrame, queries: DataFrame, k: int = 10, ranking: str =
     return top_k(scored, k)
 
 
+def bm25(index: DataFrame, terms: DataFrame, size: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score of terms (query_id, term) over postings, given the one row (n, mean) of their chunks."""
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+    return index.join(terms, "term").join(frequency, "term").join(F.broadcast(size)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def prefix_postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the terms as prefixes: tf counts all words that begin with one, so its scores compare with those of whole words."""
+    wanted = terms.select("term").distinct()
+    lengths = F.broadcast(wanted.select(F.length("term").alias("m")).distinct().agg(F.collect_list("m").alias("lengths")))
+    words = index.select("term").distinct().join(lengths).select(F.col("term").alias("word"), F.explode(F.filter("lengths", lambda m: m <= F.length("term"))).alias("m"))
+    begun = words.select("word", F.substr("word", F.lit(1), F.col("m")).alias("term")).join(wanted, "term")
+    return index.withColumnRenamed("term", "word").join(begun, "word").groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+
+
+#: Hits fetched by whole words and by prefixes for a question, for its financial expansion, and by words for LIABILITIES where a ratio is asked for.
+FETCHED, EXPANDED, FOR_RATIO = 400, 60, 20
+RATIO_WORDS, LIABILITIES = ["quick ratio", "current ratio", "liquidity"], "total current liabilities"
+
+
+def lexical_recall(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bm25: the best FETCHED of hits by words and by prefixes, and those of financial queries' expansion.
+
+    Each recall is normalised by its own maximum; a chunk in both keeps the larger."""
+    query = F.col("query")
+    ratio = Q.contains_any(F.lower(Q.normalize_mixed(query)), RATIO_WORDS)
+    financial = Q.is_financial(query)
+    parts = F.array_compact(F.array(
+        F.struct(F.lit("asked").alias("part"), query.alias("query")),
+        F.when(financial, F.struct(F.lit("expanded").alias("part"), Q.expand(query).alias("query"))),
+        F.when(financial & ratio, F.struct(F.lit("ratio").alias("part"), F.lit(LIABILITIES).alias("query"))),
+    ))
+    asked = queries.select("query_id", F.explode(parts).alias("p")).select(F.struct("query_id", "p.part").alias("query_id"), "p.query")
+    terms, index = query_tokens(asked), postings(chunks)
+    size = chunks.select(F.size(X.tokens(F.col("chunk_text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    begun = terms.filter("query_id.part <> 'ratio'")
+    words = top_k(bm25(index, terms, size), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
+    prefixes = top_k(bm25(prefix_postings(index, begun), begun, size), FETCHED).withColumn("order", F.lit(1))
+    hits = words.unionByName(prefixes).select("query_id.query_id", "query_id.part", "chunk_id", "score", "rank", "order")
+    asked_for, ratio_part = F.col("part") == "asked", F.col("part") == "ratio"
+    more = ~asked_for & (F.col("rank") <= F.when(ratio_part, FOR_RATIO).otherwise(EXPANDED))
+    # one pass over the hits, so that no part of the plan is there twice
+    each = hits.groupBy("query_id", "chunk_id").agg(F.max(F.when(asked_for, F.col("score"))).alias("first"), F.min_by("score", F.when(more, F.col("order"))).alias("second"), F.max(F.when(more, ratio_part.cast("int"))).alias("ratio"))
+    whole = Window.partitionBy("query_id")
+    place = lambda f: F.row_number().over(whole.orderBy(F.desc_nulls_last(f), F.desc("chunk_id")))
+    each = each.withColumns({"at_first": place("first"), "at_second": place("second"), "ratio": F.coalesce(F.max("ratio").over(whole), F.lit(0))})
+    share = lambda f: F.when(F.max(f).over(whole) > 0, F.col(f) / F.max(f).over(whole)).otherwise(F.col(f))
+    best = F.greatest(F.when(F.col("at_first") <= FETCHED, share("first")), F.when(F.col("at_second") <= EXPANDED * (1 + F.col("ratio")), share("second")))
+    return each.withColumn("bm25", best).filter("bm25 IS NOT NULL").select("query_id", "chunk_id", "bm25")
+
+
 def boolean_prefix(chunks: DataFrame, queries: DataFrame, k: int = 10, require_all: bool = False) -> DataFrame:
     """Chunks with words that begin with the query's terms; score: the number of matched terms.
 

@@ -322,19 +322,27 @@ def recalled(spark, sf_dir):
     return search.merge([lexical, vectors], ["bm25", "embedding"]).join(chunks, "chunk_id").join(questions_, "query_id")
 
 
+def recalled_whole(spark, sf_dir):
+    """Candidates as ``recalled`` gives them, but all that the reference fetches: 400 by words and prefixes, and the expansion of financial questions."""
+    questions_, chunks = questions(spark, sf_dir), chunk_table(spark, sf_dir)
+    vectors = search.vector_top_k(stored_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
+    vectors = vectors.select("query_id", (F.col("chunk_id") * 1000).alias("chunk_id"), F.col("score").alias("embedding"))
+    return search.merge([search.lexical_recall(chunks, questions_), vectors], ["bm25", "embedding"]).join(chunks, "chunk_id").join(questions_, "query_id")
+
+
 @query(f"WITH {RECALL} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, embedding FROM merged JOIN chunks USING (chunk_id)")
-def hybrid_merge(spark, sf_dir):
-    return recalled(spark, sf_dir).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "embedding")
+def hybrid_merge(spark, sf_dir, recall=recalled):
+    return recall(spark, sf_dir).select("query_id", "chunk_id", F.round("bm25", 6).alias("bm25"), "embedding")
 
 
 @query(f"WITH {KEYWORDS} SELECT query_id, chunk_id, round(keyword, 6) AS keyword_score, title_score, section_score, round(coverage, 6) AS coverage_score FROM kw")
-def keyword_components(spark, sf_dir):
-    made = search.keyword_components(recalled(spark, sf_dir))
+def keyword_components(spark, sf_dir, recall=recalled):
+    made = search.keyword_components(recall(spark, sf_dir))
     return made.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), "title_score", "section_score", F.round("coverage_score", 6).alias("coverage_score"))
 
 
-def candidates(spark, sf_dir):
-    found = recalled(spark, sf_dir)
+def candidates(spark, sf_dir, recall=recalled):
+    found = recall(spark, sf_dir)
     scores = search.keyword_components(found).withColumnsRenamed({"keyword_score": "keyword", "coverage_score": "coverage"})
     return ranking.fused_score(found.join(scores, ["query_id", "chunk_id"]).withColumns({"block_count": F.lit(1), "depth": F.lit(1)}))
 
@@ -411,9 +419,9 @@ FUSED = f"""{KEYWORDS}, pd AS (SELECT *, count(page_start) OVER (PARTITION BY qu
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, doc_id, final_score, rank FROM top WHERE rank <= 10")
-def rerank_fused(spark, sf_dir):
+def rerank_fused(spark, sf_dir, recall=recalled):
     """The flagship: full text and vector recall, keyword scores, all signals, top 10 of every question."""
-    return search.top_k(candidates(spark, sf_dir), 10, "final_score").select("query_id", "chunk_id", "doc_id", "final_score", "rank")
+    return search.top_k(candidates(spark, sf_dir, recall), 10, "final_score").select("query_id", "chunk_id", "doc_id", "final_score", "rank")
 
 
 SMOOTH = f"""{FUSED}, best AS (SELECT query_id, page_start, max(final_score) AS best FROM fused GROUP BY ALL),
@@ -422,20 +430,20 @@ SMOOTH = f"""{FUSED}, best AS (SELECT query_id, page_start, max(final_score) AS
 
 
 @query(f"WITH {SMOOTH} SELECT * FROM smooth")
-def page_smooth(spark, sf_dir):
-    return ranking.smoothed_pages(candidates(spark, sf_dir))
+def page_smooth(spark, sf_dir, recall=recalled):
+    return ranking.smoothed_pages(candidates(spark, sf_dir, recall))
 
 
 @query(f"""WITH {FUSED}, o AS (SELECT *, (row_number() OVER (PARTITION BY query_id, page_start ORDER BY final_score DESC, chunk_id) > 5)::INT AS over_ FROM fused),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY over_, final_score DESC, chunk_id) AS pos FROM o)
     SELECT query_id, chunk_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id)::INTEGER AS rank FROM k WHERE pos <= 12""")
-def page_cap(spark, sf_dir):
-    return ranking.page_capped(candidates(spark, sf_dir), 12).select("query_id", "chunk_id", "final_score", "rank")
+def page_cap(spark, sf_dir, recall=recalled):
+    return ranking.page_capped(candidates(spark, sf_dir, recall), 12).select("query_id", "chunk_id", "final_score", "rank")
 
 
 @query()
-def greedy_dedup(spark, sf_dir):
-    return ranking.greedy_distinct(candidates(spark, sf_dir), 20)
+def greedy_dedup(spark, sf_dir, recall=recalled):
+    return ranking.greedy_distinct(candidates(spark, sf_dir, recall), 20)
 
 
 @query(f"""WITH {FUSED}, cen AS (SELECT * FROM top WHERE rank <= 10),
@@ -444,19 +452,58 @@ def greedy_dedup(spark, sf_dir):
     one AS (SELECT query_id, chunk_id, a, b, final_score FROM nb QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY a, b) = 1),
     u AS (SELECT query_id, chunk_id, final_score, false AS is_neighbor, 0 AS late, rank AS a, 0 AS b FROM cen UNION ALL SELECT query_id, chunk_id, round(least(final_score * 0.45::DOUBLE, final_score - 0.7::DOUBLE), 6), true, 1, a, b FROM one)
     SELECT query_id, chunk_id, final_score, is_neighbor FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late, a, b, chunk_id) <= 15 OR NOT is_neighbor""")
-def neighbor_expand(spark, sf_dir):
-    centers = search.top_k(candidates(spark, sf_dir), 10, "final_score")
+def neighbor_expand(spark, sf_dir, recall=recalled):
+    centers = search.top_k(candidates(spark, sf_dir, recall), 10, "final_score")
     return ranking.with_neighbors(centers, chunk_table(spark, sf_dir), 15)
 
 
 @query()
-def section_group(spark, sf_dir):
-    return ranking.sections(candidates(spark, sf_dir)).drop("combined_text")
+def section_group(spark, sf_dir, recall=recalled):
+    return ranking.sections(candidates(spark, sf_dir, recall)).drop("combined_text")
 
 
 @query()
-def section_scores(spark, sf_dir):
-    return ranking.section_lexical(ranking.sections(candidates(spark, sf_dir)).join(questions(spark, sf_dir), "query_id"))
+def section_scores(spark, sf_dir, recall=recalled):
+    return ranking.section_lexical(ranking.sections(candidates(spark, sf_dir, recall)).join(questions(spark, sf_dir), "query_id"))
+
+
+# --- the same over the whole recall, under names of their own
+
+def bm25_sql(index: str, frequency: str, terms: str, k: int) -> str:
+    return f"""(SELECT *, row_number() OVER (PARTITION BY query_id, part ORDER BY score DESC, chunk_id DESC) AS rank FROM
+        (SELECT query_id, part, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+        FROM {index} JOIN {terms} USING (term) JOIN {frequency} USING (term), totals GROUP BY query_id, part, chunk_id) QUALIFY rank <= {k})"""
+
+
+WHOLE_RECALL = f"""{POSTINGS}, expansions AS (SELECT query_id - 1000 AS query_id, expanded FROM ({expand_sql()}) WHERE query_id >= 1000), fin AS (SELECT query_id, {mixed_sql('query')} AS plain, expanded FROM expansions JOIN (SELECT item_id AS query_id, text AS query FROM benchmark) USING (query_id)
+        WHERE {hits_sql(f"lower({mixed_sql('query')})", Q.FINANCIAL)} > 0 OR (regexp_matches({mixed_sql('query')}, '{X.CJK}') AND {hits_sql(mixed_sql('query'), Q.FINANCIAL[:15])} > 0)),
+    parts AS (SELECT item_id AS query_id, 'asked' AS part, text AS q FROM benchmark UNION ALL SELECT query_id, 'expanded', expanded FROM fin
+        UNION ALL SELECT query_id, 'ratio', {quote(search.LIABILITIES)} FROM fin WHERE {hits_sql('lower(plain)', search.RATIO_WORDS)} > 0),
+    wterms AS (SELECT DISTINCT query_id, part, term FROM (SELECT query_id, part, unnest({TOKENS.format("q")}) AS term FROM parts)),
+    pterms AS (SELECT * FROM wterms WHERE part <> 'ratio'),
+    begun AS (SELECT t.term, v.word FROM (SELECT DISTINCT term FROM pterms) t JOIN (SELECT DISTINCT term AS word FROM postings) v ON starts_with(v.word, t.term)),
+    ppost AS (SELECT b.term, p.chunk_id, sum(p.tf) AS tf, any_value(p.dl) AS dl FROM begun b JOIN postings p ON p.term = b.word GROUP BY ALL),
+    pfreq AS (SELECT term, count(*) AS df FROM ppost GROUP BY term),
+    hits AS (SELECT *, CASE WHEN part = 'ratio' THEN 2 ELSE 0 END AS o FROM {bm25_sql('postings', 'freq', 'wterms', 400)} UNION ALL SELECT *, 1 FROM {bm25_sql('ppost', 'pfreq', 'pterms', 400)}),
+    first_ AS (SELECT * FROM (SELECT query_id, chunk_id, max(score) AS score FROM hits WHERE part = 'asked' GROUP BY query_id, chunk_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) <= 400),
+    more AS (SELECT query_id, chunk_id, arg_min(score, o) AS score, max((part = 'ratio')::INT) AS ratio FROM hits WHERE part <> 'asked' AND rank <= CASE WHEN part = 'ratio' THEN 20 ELSE 60 END GROUP BY ALL),
+    second_ AS (SELECT query_id, chunk_id, score FROM (SELECT *, max(ratio) OVER (PARTITION BY query_id) AS any_ratio FROM more) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) <= 60 * (1 + any_ratio)),
+    lex AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END AS bm25 FROM first_
+        UNION ALL SELECT query_id, chunk_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE score END FROM second_),
+    vec {RECALL.split(" vec ", 1)[1]}"""
+
+
+def _whole(f: Callable) -> None:
+    def run(spark, sf_dir):
+        return f(spark, sf_dir, recalled_whole)
+
+    run.__name__ = f"{f.__name__}_whole"
+    sql = ORACLES.get(f.__name__)
+    query(sql and sql.replace(RECALL, WHOLE_RECALL))(run)
+
+
+for _f in (hybrid_merge, keyword_components, rerank_fused, page_smooth, page_cap, greedy_dedup, neighbor_expand, section_group, section_scores):
+    _whole(_f)
 
 
 # --- store
@@ -739,4 +786,4 @@ def stream_sessions(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rerank_fused(spark, sf_dir)
+    return QUERIES["rerank_fused_whole"](spark, sf_dir)
