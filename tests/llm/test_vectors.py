@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.llm.helpers import crowded
 from vellum.llm import ann, exact
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -39,6 +41,28 @@ def test_exact_top_k(spark):
     assert got == {i: [(j, int(s)) for j, s in best] for i, best in brute(rows, 7, 64.0).items() if best}
 
 
+def test_clashing_columns(spark):
+    """Columns named like the operators' own, after the two that are read."""
+    df = crowded(spark.createDataFrame(awkward(), SCHEMA).repartition(3)).withColumns({"vector": F.lit("mine"), "high": F.lit(1), "bucket": F.lit(2)})
+    pair = df.select("vec_id", "embedding", "score", "rank", "vector", "high", "bucket")
+    plain = df.select("vec_id", "embedding")
+    some = "vec_id % 20 = 0"
+    assert sorted(exact.exact_top_k(pair, pair.filter(some), k=3).collect()) == sorted(exact.exact_top_k(plain, plain.filter(some), k=3).collect())
+    assert sorted(ann.search(pair, pair.filter(some), k=3).collect()) == sorted(ann.search(plain, plain.filter(some), k=3).collect())
+
+
+def test_exact_reads_in_rounds(spark, monkeypatch):
+    """With two cells a component nearly all survive the bounds; the result stays exact."""
+    monkeypatch.setattr(exact, "CELLS", 2)
+    rng = np.random.default_rng(14)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {}
+    for r in exact.exact_top_k(df, df.filter("vec_id % 20 = 0"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {i: [(j, int(s)) for j, s in best] for i, best in brute(rows, 4, 64.0).items()}
+
+
 def test_exact_with_large_numbers(spark):
     rows = [(i, [float(10**9 * (i + 1)), float(i), 3.0]) for i in range(45)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -1,13 +1,17 @@
 """Exact top-k search with a vector-approximation file.
 
-Vectors are integers; each component is approximated by one of at most 32 cells, whose edges come from a
-bounded sample of vectors and whose outer bounds are those of all vectors. Cells of whole blocks are
+Vectors are integers; each component is approximated by one of at most 256 cells (a byte), whose edges come
+from a bounded sample of vectors and whose outer bounds are those of all vectors. Cells of whole blocks are
 scanned for bounds of the inner product. A query's k-th largest lower bound rules out all vectors whose
-upper bound is less; those left are read exactly, by falling upper bound (nearest possible first), until
-the k-th result is certain.
+upper bound is less. Those left are read exactly in two rounds, by falling upper bound (nearest possible
+first): the first 2 k of them, then those whose upper bound still reaches the k-th exact score found, after
+which the k-th result is certain.
 
 Blocks of queries meet blocks of cells; both are bounded in rows, and only cells (a byte a component) are
-repeated for the blocks of queries. Exact vectors are sent once for each query that still needs them.
+repeated for the blocks of queries. Exact vectors are sent once for each query that still needs them, and no
+task holds more of a query's survivors than the first round and those that reach its k-th score.
+
+Each vector length is searched by itself, in a loop on the driver: lengths are expected to be few.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor rows
 without id. Vectors of different length are not compared. Of rows that repeat an id, the best scored
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import binary, dense, unbinary
+from vellum.llm._shared import binary, dense, keep, unbinary
 
-CELLS, SAMPLE, DATA_BLOCK, QUERY_BLOCK = 32, 4096, 16384, 256
+CELLS, SAMPLE, DATA_BLOCK, QUERY_BLOCK = 256, 4096, 16384, 256
 _EXACT = float(1 << 53)
 
 
@@ -187,12 +191,22 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
         coded = data.mapInArrow(_encode(cells), "id long, cells binary").select("id", "cells", block("block", blocks), each("group", groups))
         met = asked.select("id", "vector", block("group", groups), each("block", blocks))
         pairs = coded.groupBy("block", "group").cogroup(met.groupBy("block", "group")).applyInArrow(_scan(cells, k), "query_id long, vec_id long, low double, high double")
-        by_query = Window.partitionBy("query_id")
-        kth = F.max(F.when(F.col("at") == k, F.col("low"))).over(by_query)
-        left = pairs.withColumn("at", F.row_number().over(by_query.orderBy(F.desc("low"), "vec_id"))).withColumn("kth", kth)
-        left = left.filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id", "high")
-        # a survivor gets its exact vector; what is read of it is decided per query
-        read = left.join(data.select(F.col("id").alias("vec_id"), "vector"), "vec_id").withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(4 * groups)))
-        asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(4 * groups)))
-        out = out.unionByName(read.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(_refine(k), "query_id long, rank int, vec_id long, score long"))
+        pairs = keep(pairs, "va-bounds")
+        # the k-th largest lower bound: Spark keeps k rows of a query in each task before the shuffle
+        rank = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
+        kth = pairs.select("query_id", "vec_id", "low").withColumn("at", rank("low")).filter(F.col("at") <= k)
+        kth = kth.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("kth"))
+        left = pairs.join(kth, "query_id").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth"))).select("query_id", "vec_id", "high")
+        left = keep(left.withColumn("at", rank("high")), "va-survivors")
+        exact = data.select(F.col("id").alias("vec_id"), "vector")
+        first = keep(left.filter(F.col("at") <= 2 * k).join(exact, "vec_id").select("query_id", "vec_id", "high", "vector"), "va-first")
+        keyed = lambda df, name: df.withColumn("group", F.pmod(F.xxhash64(name), F.lit(4 * groups)))
+        asked = keyed(asked, "id")
+        refined = lambda rows: keyed(rows, "query_id").groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(_refine(k), "query_id long, rank int, vec_id long, score long")
+        # the k-th exact score so far, a little less for the rounding of scores beyond 2**53; clamped ones rule nothing out
+        certain = F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-12
+        told = refined(first).filter((F.col("rank") == k) & (F.col("score") > -(1 << 63))).select("query_id", F.when(F.abs("score") < 1 << 53, F.col("score").cast("double")).otherwise(certain).alias("certain"))
+        rest = left.filter(F.col("at") > 2 * k).join(told, "query_id", "left").filter(F.col("certain").isNull() | (F.col("high") >= F.col("certain")))
+        second = rest.select("query_id", "vec_id", "high").join(exact, "vec_id").select("query_id", "vec_id", "high", "vector")
+        out = out.unionByName(refined(first.unionByName(second)))
     return out
