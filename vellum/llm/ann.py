@@ -13,12 +13,15 @@ The number of hashes and probes is fitted on a bounded sample: up to 64 queries,
 are found by a scan of all vectors. The cheapest setting that finds ``recall`` of them is taken; every
 vector is indexed. A query that finds fewer than k vectors in its buckets is answered by a blocked scan.
 
+Vectors travel as they are stored (four bytes a component for floats) and are widened where they are scored.
+
 Buckets of more than ``SPLIT`` rows or probes are cut into blocks, each pair of blocks being one task's
 group; their sizes come from counts, so one bucket may hold any share of the rows.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 rows without id. Vectors of different length are not compared. Of rows that repeat an id, the best scored
-counts. An empty table gives no rows.
+counts. An empty table gives no rows. Each vector length is searched by itself, in a loop on the driver:
+lengths are expected to be few.
 """
 
 from __future__ import annotations
@@ -112,23 +115,29 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([int(n)], pa.int64()), pa.array([float(low)]), pa.array([float(top)])], ["dim", "n", "low", "top"])
 
 
-def _packed(dim: int):
+def _packed(dim: int, kind: type):
+    """Vectors of length ``dim`` as id and bytes; ``kind`` holds every stored component exactly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, x in _usable(batch):
                 if x.shape[1] == dim:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), binary(x)], ["id", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), binary(x.astype(kind))], ["id", "vector"])
 
     return run
 
 
-def _nearest(queries: np.ndarray, own: np.ndarray, k: int):
+def _wide(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    return unbinary(column, kind).astype(np.float64, copy=False)
+
+
+def _nearest(queries: np.ndarray, own: np.ndarray, k: int, kind: type):
     """The k best of a batch for each of a few given queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, x = batch.column(0).to_numpy(), unbinary(batch.column(1), np.float64)
+                ids, x = batch.column(0).to_numpy(), _wide(batch.column(1), kind)
                 order = np.argsort(ids, kind="stable")
                 ids, x = ids[order], x[order]
                 r, c = best(queries @ x.T, ids, own, k)
@@ -137,14 +146,14 @@ def _nearest(queries: np.ndarray, own: np.ndarray, k: int):
     return run
 
 
-def _rows(hashes: CrossPolytope, probes: int):
+def _rows(hashes: CrossPolytope, probes: int, kind: type):
     """A row for every table (and probe); ``probes`` 0: data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = unbinary(part.column(1), np.float64)
+                x = _wide(part.column(1), kind)
                 codes = hashes.probes(x, probes) if probes else [c[:, None] for c in hashes.buckets(x).T]
                 for t, code in enumerate(codes):
                     who = np.repeat(np.arange(len(x)), code.shape[1])
@@ -153,14 +162,14 @@ def _rows(hashes: CrossPolytope, probes: int):
     return run
 
 
-def _rerank(k: int):
+def _rerank(k: int, kind: type):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
-            ids, x = left["id"].to_numpy(), unbinary(left["vector"], np.float64)
+            ids, x = left["id"].to_numpy(), _wide(left["vector"], kind)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            own, q = right["id"].to_numpy(), unbinary(right["vector"], np.float64)
+            own, q = right["id"].to_numpy(), _wide(right["vector"], kind)
             for at in range(0, len(own), 128):
                 some, rows = own[at : at + 128], q[at : at + 128]
                 r, c = best(rows @ x.T, ids, some, k)
@@ -171,7 +180,7 @@ def _rerank(k: int):
     return run
 
 
-def _meet(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _meet(data: DataFrame, asked: DataFrame, k: int, kind: type) -> DataFrame:
     """Reranks the data rows (tbl, bucket, id, vector) against the query rows of the same bucket, large buckets in blocks."""
     counts = data.groupBy("tbl", "bucket").agg(F.count("*").alias("rows"))
     counts = counts.join(asked.groupBy("tbl", "bucket").agg(F.count("*").alias("probes")), ["tbl", "bucket"])
@@ -183,7 +192,7 @@ def _meet(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     key = ["tbl", "bucket", "data_part", "query_part"]
     left = data.join(large, ["tbl", "bucket"], "left").select("tbl", "bucket", "id", "vector", own("data_parts", 1).alias("data_part"), each("query_parts").alias("query_part"))
     right = asked.join(large, ["tbl", "bucket"], "left").select("tbl", "bucket", "id", "vector", own("query_parts", 2).alias("query_part"), each("data_parts").alias("data_part"))
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rerank(k), PAIR)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_rerank(k, kind), PAIR)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -217,27 +226,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
 
     Both frames hold a long id and an array of numbers, in this order."""
     out = None
+    narrow = [df.schema[df.columns[1]].dataType.elementType.typeName() == "float" for df in (vectors, queries)]
+    kind = np.float32 if all(narrow) else np.float64
     profile = vectors.mapInArrow(_profile, "dim int, n long, low double, top double")
     for row in profile.groupBy("dim").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("top").alias("top")).orderBy("dim").collect():  # a row a vector length
         dim = row["dim"]
-        data, asked = (df.mapInArrow(_packed(dim), "id long, vector binary") for df in (vectors, queries))
+        data, asked = (df.mapInArrow(_packed(dim, kind), "id long, vector binary") for df in (vectors, queries))
         sample = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-        own, q = np.array([r["id"] for r in sample], np.int64), np.array([np.frombuffer(r["vector"]) for r in sample]).reshape(-1, dim)
+        own, q = np.array([r["id"] for r in sample], np.int64), np.array([np.frombuffer(r["vector"], kind) for r in sample], np.float64).reshape(-1, dim)
         answers = []
         if len(own):
-            near = data.mapInArrow(_nearest(q, own, k), f"{PAIR}, vector binary")
+            near = data.mapInArrow(_nearest(q, own, k, kind), f"{PAIR}, vector binary")
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
             at = {int(i): j for j, i in enumerate(own)}
             answers = [(at[r["query_id"]], np.frombuffer(r["vector"])) for r in near.withColumn("rank", rank).filter(F.col("rank") <= k).collect()]
         hashes, probes = fit(dim, row["n"], row["low"], row["top"], q, answers, recall)
         schema = "tbl int, bucket long, id long, vector binary"
-        met = _meet(data.mapInArrow(_rows(hashes, 0), schema), asked.mapInArrow(_rows(hashes, probes), schema), k)
+        met = _meet(data.mapInArrow(_rows(hashes, 0, kind), schema), asked.mapInArrow(_rows(hashes, probes, kind), schema), k, kind)
         found = keep(_top(met, k), "ann-found")
         full = min(k, row["n"] - 1)
         few = asked.join(found.filter(F.col("rank") == full).select(F.col("query_id").alias("id")), "id", "left_anti") if full > 0 else asked.limit(0)
         if few.limit(1).count():
             whole = lambda df: df.select(F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("bucket"), "id", "vector")
-            again = _top(_meet(whole(data), whole(few), k), k)
+            again = _top(_meet(whole(data), whole(few), k, kind), k)
             found = found.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
         out = found if out is None else out.unionByName(found)
     if out is None:
