@@ -49,8 +49,9 @@ def op5_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    told = [(-1, i, role, CONTROL) for i, role in enumerate(("user", "assistant"))]
-    return chat.digest(chat.format_conversations(turns.unionByName(spark.createDataFrame(told, "conv_id long, turn long, role string, text string"))))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    told = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL).alias("text"))
+    return chat.digest(chat.format_conversations(turns.unionByName(told)))
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
