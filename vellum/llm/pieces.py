@@ -7,6 +7,9 @@ all segmentations up to each character. Every occurrence then samples backwards,
 a piece in proportion to the weight of the segmentations that end with it. The random numbers are hashes of
 row key, seed, span and character, so any rerun gives the same pieces.
 
+A span of more than ``LONG`` characters (a text without spaces may be one) is filtered window by window: only its
+forward weights, a number a character, are held whole. Going back, each window's table is made again from them.
+
 A piece of rank r weighs (r + 2) ** -theta: the vocabulary's scores are merge ranks, not probabilities.
 Characters without a piece become their bytes' pieces, and so does a literal U+2581, which otherwise stands for a space:
 decoding gives back every text exactly.
@@ -17,6 +20,7 @@ rows (same row key and text) get the same pieces. Columns named like the results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 
 from vellum.llm._shared import mix, powers
 
-MARK, LITERAL, CHUNK, CELLS, THETA = 0x2581, 0x110000, 1 << 21, 1 << 16, 1.0
+MARK, LITERAL, CHUNK, CELLS, LONG, THETA = 0x2581, 0x110000, 1 << 21, 1 << 16, 1 << 14, 1.0
 _STEP, _JUMP = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -125,6 +129,66 @@ class Lattices:
         return (self.table[row, at] <= uniform[:, None]).sum(1) + 1
 
 
+def _uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (mix(seed + place.astype(np.uint64) * _JUMP) >> np.uint64(11)) * 2.0**-53
+
+
+def _window(pieces: Pieces, points: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the places a + 1 to b of a span: the piece of each length that ends there, -1 for none, and its log weight."""
+    start = max(0, a - pieces.most)
+    part = points[start:b]
+    power, inverse = powers(len(part))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_power_hash(part) * power[: len(part)])])
+    end = np.arange(a + 1, b + 1) - start
+    piece = np.full((b - a, pieces.most), -1, np.int32)
+    for size in range(1, pieces.most + 1):
+        own = end[end >= size]
+        if len(own):
+            piece[b - a - len(own) :, size - 1] = pieces.lookup(mix((sums[own] - sums[own - size]) * inverse[own - size] + np.uint64(size)))
+    weight = pieces.log_weight[piece]
+    bare = piece[:, 0] < 0
+    weight[:, 0] = np.where(bare, pieces.byte_weight * utf8_width(points[a:b]), weight[:, 0])
+    return piece, weight
+
+
+def _long_span(pieces: Pieces, points: np.ndarray, seeds: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Samples a long span once a seed: of each window, last first, the number of the seed, the places where pieces end (falling) and the pieces."""
+    length = len(points)
+    forward = np.zeros(length + 1)
+    for a in range(0, length, window):
+        b = min(length, a + window)
+        _, weight = _window(pieces, points, a, b)
+        place, size = np.nonzero(weight > -np.inf)
+        known = weight[place, size].tolist()
+        bounds = np.searchsorted(place, np.arange(b - a + 1)).tolist()
+        size = (size + 1).tolist()
+        held = forward[max(0, a - pieces.most) : a + 1].tolist()
+        base = a + 1 - len(held)  # held[i] is the weight at place base + i
+        for t in range(b - a):
+            top = held[-1]
+            here = a + t + 1 - base
+            total = sum(math.exp(held[here - size[j]] - top + known[j]) for j in range(bounds[t], bounds[t + 1]))
+            held.append(top + math.log(total))
+        forward[a + 1 : b + 1] = held[len(held) - (b - a) :]
+    place = [length] * len(seeds)
+    for a in range((length - 1) // window * window, -1, -window):
+        b = min(length, a + window)
+        piece, weight = _window(pieces, points, a, b)
+        back = np.arange(a + 1, b + 1)[:, None] - np.arange(1, pieces.most + 1)
+        into = np.where(back >= 0, forward[np.maximum(back, 0)] + weight, -np.inf)
+        share = np.cumsum(np.exp(into - into.max(1, keepdims=True)), axis=1)
+        share /= share[:, -1:]
+        for i, seed in enumerate(seeds):
+            step = ((share <= _uniform(seed, np.arange(a + 1, b + 1))[:, None]).sum(1) + 1).tolist()
+            at, ends = place[i], []
+            while at > a:
+                ends.append(at)
+                at -= step[at - a - 1]
+            place[i] = at
+            ends = np.array(ends, np.int64)
+            yield i, ends, piece[ends - a - 1, np.array(step, np.int64)[ends - a - 1] - 1]
+
+
 def utf8_width(points: np.ndarray) -> np.ndarray:
     width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
     return np.where(points == LITERAL, 3, width)
@@ -173,6 +237,20 @@ def sample(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.ndar
     at = 0
     while at < len(first):
         length = int(sizes[at])
+        if length > LONG:
+            own = points[start[first[by_length[at]]] :][:length]
+            owners = by_span[span_at[by_length[at]] : span_at[by_length[at] + 1]]
+            for i, end, piece in _long_span(pieces, own, seed[owners], LONG):
+                code, bare = own[end - 1], piece < 0
+                used_by = so_far[owners[i]] + np.cumsum(np.where(bare, utf8_width(code), 1))
+                spans.append(np.full(len(end), owners[i]))
+                used.append(used_by)
+                ids.append(piece)
+                codes.append(np.where(bare, code, 0))
+                if len(end):
+                    so_far[owners[i]] = used_by[-1]
+            at += 1
+            continue
         stop = min(int(np.searchsorted(sizes, length, side="right")), at + max(1, CELLS // length))
         some = by_length[at:stop]
         lattice = Lattices(pieces, points[start[first[some]][:, None] + np.arange(length)])
@@ -180,8 +258,7 @@ def sample(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.ndar
         span = by_span[np.repeat(span_at[some] - np.concatenate([[0], np.cumsum(span_at[some + 1] - span_at[some])[:-1]]), span_at[some + 1] - span_at[some]) + np.arange(len(row))]
         place = np.full(len(row), length, np.int64)
         while len(row):
-            uniform = (mix(seed[span] + place.astype(np.uint64) * _JUMP) >> np.uint64(11)) * 2.0**-53
-            step = lattice.last(row, place, uniform)
+            step = lattice.last(row, place, _uniform(seed[span], place))
             piece = lattice.piece[row, place, step - 1]
             code = points[start[span] + place - 1]
             bare = piece < 0
