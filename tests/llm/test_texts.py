@@ -78,21 +78,76 @@ def test_quality_without_labels(spark):
     assert quality.score(frame(spark, []), quality.train(frame(spark, []), empty)).collect() == []
 
 
-def test_quality_features_by_hand():
-    data = "Ab ab!! XY".encode()
-    row, name, weight = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    assert len(name) == 4 and math.isclose(float((weight.astype(float) ** 2).sum()), 1, rel_tol=1e-6)  # ab (twice), !!, xy, capitals
-
-def test_quality_repeated_words():
-    words = "go go go go go go stop, stop, stop, stop, stop, a a a a".split(" ")
-    units = [u for w in words for u in ([w[:-1], ","] if w.endswith(",") else [w])]
-    h = np.array([hash(u) % (1 << 62) for u in units], np.uint64)
-    word = np.array([u != "," for u in units])
-    row = np.zeros(len(units), np.int64)
-    assert quality.repeated(h, row, word).sum() == 3  # the 5th and 6th go, the 5th stop
-    row[3:] = 1
-    assert quality.repeated(h, row, word).sum() == 1  # runs end with their text
-    assert not quality.repeated(h[:2], row[:2], word[:2]).any()
+def units_of(text):
+    """Words (letters, digits, all beyond ASCII; A-Z as a-z) and runs of other characters, in order; and the words in capitals."""
+    spaceless = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff \t\n\x0b\x0c\r]+", text or "")
+    low = ["".join(c.lower() if "A" <= c <= "Z" else c for c in u) for u in spaceless]
+    capital = sum(sum("A" <= c <= "Z" for c in u) > 1 and not any("a" <= c <= "z" for c in u) for u in spaceless)
+    return low, capital
+
+
+def plain_features(text):
+    low, capital = units_of(text)
+    own = {u: math.log1p(n) for u, n in collections.Counter(low).items()} | ({"CAPITALS": math.log1p(capital)} if capital else {})
+    norm = math.sqrt(sum(w * w for w in own.values()))
+    own = {u: w / norm for u, w in own.items()}
+    pairs = collections.Counter(zip(low[:-1], low[1:], strict=True))
+    if pairs:
+        top = max(pairs.values())
+        own["REPEATS", min(int(math.log2(top)), 15), min(int(-math.log2(top / pairs.total())), 15)] = 1.0
+    return own
+
+
+def test_quality_features_against_plain_python():
+    texts = [t or "" for _, t, *_ in documents(80)] + ["Ab ab!! XY", "go go go go", "", "one"]
+    data = [t.encode() for t in texts]
+    row, name, weight = quality.features(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert (np.diff(row) >= 0).all()
+    for i, text in enumerate(texts):
+        want = sorted(plain_features(text).values())
+        assert np.allclose(np.sort(weight[row == i]), want, atol=1e-6)
+        repeats = [int(x) - 54321 for x, w in zip(name[row == i], weight[row == i], strict=True) if 54321 <= x < 54321 + 256 and w == 1]
+        assert [(x // 16, x % 16) for x in repeats][-1:] == [k[1:] for k in plain_features(text) if isinstance(k, tuple)]
+
+
+def test_quality_fit_is_the_maximum():
+    """The fitted model against the likelihood computed by definition: nothing near it is better."""
+    rng = np.random.default_rng(12)
+    grades = np.repeat([0, 1, 2], [60, 40, 100])
+    names = [np.unique(np.concatenate([rng.integers(0, 6, 3), rng.choice([100 + g, 103], 1), [200]])).astype(np.uint32) for g in grades]
+    weights = [rng.uniform(0.2, 1, len(x)).astype(np.float32) for x in names]
+    model = quality.fit(names, weights, grades, rounds=3000)
+    share = (1 / np.bincount(grades))[grades] / 3
+
+    def loss(w, t):
+        total = 0.5e-5 * (w**2).sum()
+        for x, v, g, s in zip(names, weights, grades, share, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(min(500, c - float(w[x] @ v)))) for c in t), 0.0]
+            total -= s * math.log(max(above[g] - above[g + 1], 1e-12))
+        return total
+
+    w = model.weights.astype(float)
+    best = loss(w, model.thresholds)
+    assert (w <= 0).all() and (w < 0).any()
+    for i in np.flatnonzero(w < 0):
+        for step in (-0.05, 0.05):
+            near = w.copy()
+            near[i] = min(0, near[i] + step)
+            assert loss(near, model.thresholds) >= best - 1e-5
+    for j in range(2):
+        for step in (-0.05, 0.05):
+            near = model.thresholds.copy()
+            near[j] += step
+            assert loss(w, near) >= best - 1e-5
+
+
+def test_quality_of_repeated_documents(spark):
+    """A labelled document that is there a thousand times counts once in training."""
+    rows = [(i, "good words here" if i % 2 else "bad !!! words", "en", "s", 1) for i in range(40)]
+    told = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = quality.train(frame(spark, rows), told)
+    many = quality.train(frame(spark, rows + [rows[3]] * 1000), told)
+    assert (once.weights == many.weights).all() and (once.thresholds == many.thresholds).all()
 
 
 # --- language
@@ -134,6 +189,36 @@ def test_language_matches_counting(spark, monkeypatch):
             assert r["lang_pred"] in model.languages and 0 <= r["score"] <= 1
 
 
+def test_language_predictions_against_plain_python(spark):
+    rows = documents()
+    model = langid.train(frame(spark, rows))
+    counts, texts = {}, collections.Counter()
+    grams = lambda t: [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+    def bucket(gram):
+        points = np.array([ord(c) for c in gram], np.uint32)
+        return int([b for b, _ in langid._buckets(points, np.array([0, len(points)]))][len(gram) - 1][0])
+
+    known = {}
+    for _, text, lang, *_ in rows:
+        if text is not None and lang is not None:
+            texts[lang] += 1
+            counts.setdefault(lang, collections.Counter()).update(known.setdefault(g, bucket(g)) for g in grams(text.lower()))
+    for r in langid.predict(frame(spark, rows), model).collect():
+        text = (r["text"] or "").lower()
+        if not re.search(r"[^\W\d_]", text):
+            continue
+        logs = {}
+        for lang, own in counts.items():
+            total = own.total() + langid.SMOOTHING * langid.BUCKETS
+            logs[lang] = math.log(texts[lang] / texts.total()) + sum(math.log((own[known.setdefault(g, bucket(g))] + langid.SMOOTHING) / total) for g in grams(text))
+        top = max(logs, key=logs.get)
+        share = 1 / sum(math.exp(x - logs[top]) for x in logs.values())
+        if share > 0.51:
+            assert r["lang_pred"] == top
+        assert math.isclose(r["score"], share, rel_tol=0.01, abs_tol=0.01)
+
+
 def test_language_accuracy(spark):
     de = ["der und die das ist nicht schön", "ich habe keine zeit für das", "über die brücke geht der mann"]
     en = ["the quick brown fox is not here", "i have no time for this", "over the bridge goes the man"]
@@ -255,6 +340,11 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
+def test_chat_needs_no_python(spark):
+    made = catalog.op6_chat_format(spark, "/root/testdata/sf0.001")
+    assert "Python" not in made._jdf.queryExecution().toRdd().toDebugString()
+
+
 # --- mix
 
 
@@ -326,6 +416,31 @@ def test_pieces_follow_their_distribution():
         assert abs(got[p] / 20000 - weigh(p) / total) < 0.015
 
 
+def test_long_spans_in_windows(vocabulary, monkeypatch):
+    """Texts without spaces, by windows of three sizes and by one lattice."""
+    rng = np.random.default_rng(1)
+    base = "中文维基百科的人工智能是研究开发用于模拟延伸abc▁日本語🙂"
+    texts = ["".join(base[i] for i in rng.integers(0, len(base), n)) for n in (3000, 1999, 40)]
+    texts = [*texts, texts[0], "plain words", texts[1] + " and after"]
+    seeds = np.arange(len(texts), dtype=np.uint64) * np.uint64(7919)
+    whole = pieces.sample(vocabulary, texts, seeds)
+    for window in (1, 17, 1000):
+        monkeypatch.setattr(pieces, "LONG", window)
+        ids, bounds = pieces.sample(vocabulary, texts, seeds)
+        assert ids.tolist() == whole[0].tolist() and bounds.tolist() == whole[1].tolist()
+
+
+def test_two_million_characters_without_a_space(vocabulary):
+    import tracemalloc
+
+    text = "".join(chr(0x4E00 + i) for i in np.random.default_rng(2).integers(0, 900, 2_000_000))
+    tracemalloc.start()
+    ids, _ = pieces.sample(vocabulary, [text], np.array([5], np.uint64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces.join(vocabulary, ids.tolist()) == text and most < 800 << 20
+
+
 def test_pieces_refuse_crossing_vocabulary():
     with pytest.raises(ValueError):
         pieces.Pieces({300: "a▁b"}, list(range(256)))

@@ -1,8 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-Texts become hashed features: words (A-Z as a-z), runs of punctuation, a feature for words in capitals and one
-for a word's fifth and later time in a row (each time with the same punctuation, or none, between), each
-weighing log(1 + count), scaled to unit length. One weight vector serves all grades; ordered thresholds
+Texts become hashed features: words (A-Z as a-z), runs of punctuation and a feature for words in capitals, each
+weighing log(1 + count), scaled to unit length; and one feature for how repetitive a text is: how often its most
+frequent pair of adjacent units (words or punctuation) occurs, and what share of all pairs that is, both by powers
+of two (the top 2-gram of published repetition filters, without a fitted threshold), weighing 1. One weight vector serves all grades; ordered thresholds
 cut its score: P(grade > j) = sigmoid(w.x - t_j), t_0 < t_1 < ... . Their sum over j is the expected grade;
 P(grade >= g) is the tail probability by which documents are selected.
 
@@ -11,7 +12,7 @@ text loses grade by what it has, not by what it lacks, so short texts and unknow
 
 Grades from labels: 0 poor, 1 fair but toxic, 2 clean. The model is fitted on at most ``SAMPLE`` labelled
 documents of each grade (those of least id hash), found through a join with the bounded sample of labels,
-so texts are not shuffled; only their features reach the driver. Scoring covers every document, with the
+so texts are not shuffled; of each sampled doc_id one text's features (least hash, where a doc_id repeats) reach the driver. Scoring covers every document, with the
 weights broadcast (a fixed 2**18 of them).
 
 Edge cases: documents without text, or with white space only, get the features of an empty text. Labels
@@ -42,22 +43,29 @@ _WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(or
 _UPPER, _SMALL = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
 _UPPER[ord("A") : ord("Z") + 1] = 1
 _SMALL[ord("a") : ord("z") + 1] = 1
-_CAPITALS, _AGAIN = np.uint32(12345), np.uint32(54321)
+_CAPITALS, _REPEATS = np.uint32(12345), np.uint32(54321)  # _REPEATS begins 256 features
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(quality.isNull(), None).when(F.coalesce(toxic, F.lit(0)) == 1, 1).otherwise(2)
 
 
-def repeated(h: np.ndarray, row: np.ndarray, word: np.ndarray, times: int = 5) -> np.ndarray:
-    """Which units are a word for at least the ``times``-th time in a row, one or two units apart, within a text."""
-    out = np.zeros(len(h), bool)
-    for apart in (1, 2):
-        far = (times - 1) * apart
-        if len(h) > far:
-            same = (h[apart:] == h[:-apart]) & (row[apart:] == row[:-apart])
-            out[far:] |= word[far:] & np.logical_and.reduce([same[k * apart : k * apart + len(h) - far] for k in range(times - 1)])
-    return out
+def repetition(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two units at least, and the feature for the count and share of their most frequent pair of adjacent units."""
+    same = row[1:] == row[:-1]
+    pair, owner = mix(h[:-1][same] + mix(h[1:][same])), row[1:][same]
+    if not len(pair):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    order = np.lexsort((pair, owner))
+    pair, owner = pair[order], owner[order]
+    heads = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])]))
+    count, owner = np.diff(np.concatenate([heads, [len(pair)]])), owner[heads]
+    total, top = np.bincount(owner, count, minlength=n), np.zeros(n)
+    np.maximum.at(top, owner, count)
+    some = np.flatnonzero(total)
+    often = np.minimum(np.log2(top[some]).astype(np.int64), 15)
+    rare = np.minimum(-np.log2(top[some] / total[some]).astype(np.int64), 15)
+    return some, (_REPEATS + 16 * often + rare).astype(np.uint32)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +83,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     name = (mix(h) % np.uint64(DIMENSIONS)).astype(np.uint32)
     row = np.searchsorted(offsets, starts, side="right") - 1
     capital = (np.add.reduceat(_UPPER[data], starts, dtype=np.int64) > 1) & (np.add.reduceat(_SMALL[data], starts, dtype=np.int64) == 0)
-    again = repeated(h, row, kind[starts] == 2)
-    key = np.concatenate([row * DIMENSIONS + name, row[capital] * DIMENSIONS + _CAPITALS, row[again] * DIMENSIONS + _AGAIN])
+    some, often = repetition(h, row, len(offsets) - 1)
+    key = np.concatenate([row * DIMENSIONS + name, row[capital] * DIMENSIONS + _CAPITALS])
     key, n = np.unique(key, return_counts=True)
     row, name, weight = key // DIMENSIONS, (key % DIMENSIONS).astype(np.uint32), np.log1p(n)
     norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(offsets) - 1))
-    return row, name, (weight / norm[row]).astype(np.float32)
+    row, name, weight = np.concatenate([row, some]), np.concatenate([name, often]), np.concatenate([weight / norm[row], np.ones(len(some))])
+    order = np.argsort(row, kind="stable")
+    return row[order], name[order], weight[order].astype(np.float32)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +184,9 @@ def sample_labels(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     # the sample is bounded by GRADES * most rows of 12 bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, most)), "doc_id").select("doc_id", "grade", "text")
-    got = rows.mapInArrow(_sparse, "doc_id long, grade int, names binary, weights binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["names"], r["weights"]))
-    got = got[: 4 * GRADES * most]  # documents may repeat
+    made = rows.mapInArrow(_sparse, "doc_id long, grade int, names binary, weights binary")
+    one = F.min_by(F.struct("grade", "names", "weights"), F.struct(F.xxhash64("names", "weights"), "names", "weights"))
+    got = made.groupBy("doc_id").agg(one.alias("one")).select("doc_id", "one.*").orderBy("doc_id").collect()  # GRADES * most rows at most
     return fit([np.frombuffer(r["names"], np.uint32) for r in got], [np.frombuffer(r["weights"], np.float32) for r in got], np.array([r["grade"] for r in got], np.int64))
 
 
