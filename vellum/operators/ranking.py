@@ -100,21 +100,23 @@ def greedy_distinct(df: DataFrame, k: int, similar: float = SIMILAR, same_sectio
     return listed.select("query_id", F.posexplode(F.expr(chosen)).alias("at", "x")).select("query_id", F.col("x.chunk_id").alias("chunk_id"), (F.col("at") + 1).alias("rank"))
 
 
-def with_neighbors(centers: DataFrame, chunks: DataFrame, limit: int, window: int = 1) -> DataFrame:
+def with_neighbors(centers: DataFrame, chunks: DataFrame, limit: int, window: int = 1, spare: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Centres (query_id, chunk_id, doc_id, chunk_index, section, final_score, rank) and, while there is room, their neighbours
-    of the same section, at min(.45 s, s - .7). Offsets are exploded, so the join is on equality."""
+    of the same section, at min(.45 s, s - .7). Offsets are exploded, so the join is on equality. With ``spare`` there is room for
+    that many beyond the centres at least. ``carry`` names columns of chunks to keep."""
     around = F.array(*[F.lit(sign * o) for o in range(1, window + 1) for sign in (-1, 1)])
     wanted = centers.select("query_id", "doc_id", F.col("section").alias("_section"), F.col("rank").alias("_rank"), "final_score", "chunk_index", F.posexplode(around).alias("_at", "_by"))
     wanted = wanted.withColumn("chunk_index", F.col("chunk_index") + F.col("_by"))
-    found = wanted.join(chunks.select("chunk_id", "doc_id", "chunk_index", "section", "chunk_text"), ["doc_id", "chunk_index"])
+    found = wanted.join(chunks.select("chunk_id", "doc_id", "chunk_index", "section", "chunk_text", *carry), ["doc_id", "chunk_index"])
     same = (F.col("section") == F.col("_section")) | (F.col("section") == "") | (F.col("_section") == "")
     found = found.filter(same & (F.trim("chunk_text") != "")).join(centers.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    first = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("_rank", "_at", "final_score")).alias("m"))
+    first = found.groupBy("query_id", "chunk_id").agg(F.min(F.struct("_rank", "_at", "final_score")).alias("m"), *(F.first(c).alias(c) for c in carry))
     score = F.round(F.least(F.col("m.final_score") * 0.45, F.col("m.final_score") - 0.7), 6)
-    own = centers.select("query_id", "chunk_id", "final_score", F.lit(False).alias("is_neighbor"), F.struct(F.lit(0).alias("late"), F.col("rank").alias("a"), F.lit(0).alias("b")).alias("_key"))
-    more = first.select("query_id", "chunk_id", score.alias("final_score"), F.lit(True).alias("is_neighbor"), F.struct(F.lit(1).alias("late"), F.col("m._rank").alias("a"), F.col("m._at").alias("b")).alias("_key"))
+    own = centers.select("query_id", "chunk_id", *carry, "final_score", F.lit(False).alias("is_neighbor"), F.struct(F.lit(0).alias("late"), F.col("rank").alias("a"), F.lit(0).alias("b")).alias("_key"))
+    more = first.select("query_id", "chunk_id", *carry, score.alias("final_score"), F.lit(True).alias("is_neighbor"), F.struct(F.lit(1).alias("late"), F.col("m._rank").alias("a"), F.col("m._at").alias("b")).alias("_key"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("_key", "chunk_id"))
-    return own.unionByName(more).withColumn("_at", at).filter((F.col("_at") <= limit) | ~F.col("is_neighbor")).drop("_key", "_at")
+    room = F.lit(limit) if spare is None else F.greatest(F.lit(limit), F.count_if(~F.col("is_neighbor")).over(Window.partitionBy("query_id")) + spare)
+    return own.unionByName(more).withColumns({"_at": at, "_room": room}).filter((F.col("_at") <= F.col("_room")) | ~F.col("is_neighbor")).drop("_key", "_at", "_room")
 
 
 def sections(df: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
@@ -125,11 +127,51 @@ def sections(df: DataFrame, window: int = PAGE_WINDOW) -> DataFrame:
     each = listed.select("query_id", "doc_id", F.explode(F.arrays_zip(F.expr(starts).alias("start"), F.col("c").alias("c"))).alias("z")).select("query_id", "doc_id", F.col("z.start").alias("start"), "z.c.*")
     return each.groupBy("query_id", "doc_id", "start").agg(
         F.min("page_start").alias("page_start"), F.max("page_start").alias("page_end"), F.mode("section", True).alias("section"), F.count("*").alias("chunk_count"),
-        F.round(F.avg(-F.col("o")), 6).alias("avg_score"), F.round(F.max(-F.col("o")), 6).alias("max_score"),
+        F.round(F.avg(-F.col("o")), 10).alias("avg_score"), F.round(F.max(-F.col("o")), 6).alias("max_score"),
+        F.max(F.when(F.col("page_start") == F.col("start"), -F.col("o"))).alias("first_page_score"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_start", "o", "chunk_id", "chunk_text"))), lambda x: x["chunk_text"]), "\n").alias("combined_text"),
     )
 
 
+# fixed values: words of section titles, weights of section scores
+TITLES = ["balance sheet", "income statement", "cash flow", "management discussion", "overview", "business", "risk factor", "notes to", "financial summary"]
+DENSE, LEXICAL, RELEVANCE, BEST_SECTIONS = 0.60, 0.40, 0.06, 5
+
+
+def keyword_recalled(df: DataFrame, k: int = 20) -> DataFrame:
+    """Candidates with keyword scores as fusion sees them: the k best by keywords, title and section keep theirs, as do those of the
+    lexical recall, which fusion scores itself; others' are 0."""
+    lexical = 0.60 * F.col("keyword") + 0.23 * F.col("title_score") + 0.17 * F.col("section_score")
+    any_ = (F.col("keyword") > 0) | (F.col("coverage") > 0) | (F.col("bm25") > 0)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.when(any_, F.round(lexical, 9))), "chunk_id"))
+    kept = df.withColumn("_kept", (any_ & (at <= k)) | (F.col("bm25") > 0))
+    return kept.withColumns({c: F.when(F.col("_kept"), F.col(c)).otherwise(0.0) for c in ("keyword", "title_score", "section_score", "coverage")}).drop("_kept")
+
+
+def section_scored(sections: DataFrame, lexical: DataFrame, dense: DataFrame, k: int = BEST_SECTIONS) -> DataFrame:
+    """The k best of a query's sections (from :func:`sections`) by section_score: dense and lexical scores over their maxima, and a
+    boost for titles. ``dense``: query_id, doc_id, start, dense. Where a query's dense scores are all 0, its best chunks' scores stand in."""
+    key = ["query_id", "doc_id", "start"]
+    own = Window.partitionBy("query_id")
+    met = sections.join(lexical, key).join(dense, key)
+    met = met.withColumn("dense", F.when(F.max(F.abs("dense")).over(own) > 0, F.col("dense")).otherwise(F.col("first_page_score")))
+    over = lambda c: F.col(c) / F.when(F.max(c).over(own) > 0, F.max(c).over(own)).otherwise(1.0)
+    boost = F.least(F.lit(0.1), S.hits(F.lower(F.col("section")), TITLES) * 0.03)
+    scored = met.withColumn("section_score", F.round(DENSE * over("dense") + LEXICAL * over("lexical_score") + boost, 6))
+    at = F.row_number().over(own.orderBy(F.desc("section_score"), "doc_id", "start"))
+    return scored.withColumn("rank", at).filter(F.col("rank") <= k)
+
+
+def section_capped(df: DataFrame, sections: DataFrame, per_section: int = 5) -> DataFrame:
+    """query_id, chunk_id, section_score, rank: the best ``per_section`` candidates of each section, sections by rank. A chunk is in one section only."""
+    members = df.join(sections.select("query_id", "doc_id", "page_start", "page_end", F.col("section_score").alias("_relevance"), F.col("rank").alias("_section")).withColumnsRenamed({"page_start": "_from", "page_end": "_to"}), ["query_id", "doc_id"])
+    members = members.filter(F.col("page_start").between(F.col("_from"), F.col("_to")))
+    at = F.row_number().over(Window.partitionBy("query_id", "_section").orderBy(F.desc("final_score"), "chunk_id"))
+    taken = members.withColumn("_at", at).filter(F.col("_at") <= per_section)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_section", "_at"))
+    return taken.withColumn("rank", place).select("query_id", "chunk_id", F.col("_relevance").alias("section_score"), "rank")
+
+
 def section_lexical(df: DataFrame) -> DataFrame:
     """(query_id, doc_id, start, query, section, combined_text) -> lexical_score: occurrences of the query's terms, capped at 1."""
     low = F.lower(F.concat_ws(" ", "section", "combined_text"))

@@ -1,22 +1,22 @@
-"""Recall over chunks (chunk_id, doc_id, chunk_text, ...) for a DataFrame of queries (query_id, query)."""
+"""Recall over an index of chunks (or chunks: chunk_id, doc_id, chunk_text, ...) for a DataFrame of queries (query_id, query)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import query as Q
 from vellum.functions import text as X
+from vellum.operators.index import Index, of
+from vellum.sources.scratch import keep
 
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """term, chunk_id, tf, dl: the inverted index, to be written bucketed by term where it is reused."""
-    listed = chunks.select("chunk_id", X.tokens(F.col(text)).alias("t"))
-    return listed.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-
-
 def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term"))
 
@@ -27,36 +27,44 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def fulltext(chunks: DataFrame, queries: DataFrame, k: int = 10, ranking: str = "bm25") -> DataFrame:
+def _bm25_weight() -> Column:
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+
+
+def ranked(postings: DataFrame, terms: DataFrame, size: DataFrame, ranking: str = "bm25") -> DataFrame:
+    """query_id, chunk_id, score of terms (query_id, term, df) over postings, given the one row (n, mean) of their chunks.
+
+    Postings lie by chunk, and few terms are asked for, so the sums stay where the postings are."""
+    weight = _bm25_weight() if ranking == "bm25" else F.col("tf") * F.pow(F.log10(F.col("n") / F.col("df")), 2)
+    met = postings.join(terms, "term").join(F.broadcast(size))  # one row
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def counted(index: Index, terms: DataFrame) -> DataFrame:
+    """Terms (query_id, term) that the index holds, with their number of chunks, written so that the planner knows how few they are."""
+    return keep(index.vocabulary.join(terms, "term").select("query_id", "term", "df"), "asked")
+
+
+def fulltext(source: Index | DataFrame, queries: DataFrame, k: int = 10, ranking: str = "bm25") -> DataFrame:
     """query_id, chunk_id, score, rank by BM25 or by tf * idf ** 2 (``tfidf2``)."""
-    index = postings(chunks)
-    size = chunks.select(F.size(X.tokens(F.col("chunk_text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))  # one row
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    met = index.join(query_tokens(queries), "term").join(frequency, "term").join(F.broadcast(size))
-    if ranking == "bm25":
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    else:
-        weight = F.col("tf") * F.pow(F.log10(F.col("n") / F.col("df")), 2)
-    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top_k(scored, k)
+    index = of(source)
+    return top_k(ranked(index.postings, counted(index, query_tokens(queries)), index.size, ranking), k)
 
 
-def bm25(index: DataFrame, terms: DataFrame, size: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of terms (query_id, term) over postings, given the one row (n, mean) of their chunks."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return index.join(terms, "term").join(frequency, "term").join(F.broadcast(size)).groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
+def begun_words(index: Index, terms: DataFrame) -> DataFrame:
+    """word, term: the words of the index that begin with a wanted term. Only words shorter or longer by what is asked are looked at:
+    each word offers its prefixes of the lengths that terms have."""
+    wanted = terms.select("term").distinct()
+    lengths = F.broadcast(wanted.select(F.length("term").alias("m")).distinct().agg(F.collect_list("m").alias("lengths")))  # one row, as long as there are word lengths
+    words = index.vocabulary.join(lengths).select(F.col("term").alias("word"), F.explode(F.filter("lengths", lambda m: m <= F.length("term"))).alias("m"))
+    return keep(words.select("word", F.substr("word", F.lit(1), F.col("m")).alias("term")).join(wanted, "term"), "begun")
 
 
-def prefix_postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+def prefix_postings(index: Index, terms: DataFrame) -> DataFrame:
     """Postings of the terms as prefixes: tf counts all words that begin with one, so its scores compare with those of whole words."""
-    wanted = terms.select("term").distinct()
-    lengths = F.broadcast(wanted.select(F.length("term").alias("m")).distinct().agg(F.collect_list("m").alias("lengths")))
-    words = index.select("term").distinct().join(lengths).select(F.col("term").alias("word"), F.explode(F.filter("lengths", lambda m: m <= F.length("term"))).alias("m"))
-    begun = words.select("word", F.substr("word", F.lit(1), F.col("m")).alias("term")).join(wanted, "term")
-    return index.withColumnRenamed("term", "word").join(begun, "word").groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    begun = begun_words(index, terms)
+    return index.postings.withColumnRenamed("term", "word").join(begun, "word").groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
 
 
 #: Hits fetched by whole words and by prefixes for a question, for its financial expansion, and by words for LIABILITIES where a ratio is asked for.
@@ -64,11 +72,11 @@ FETCHED, EXPANDED, FOR_RATIO = 400, 60, 20
 RATIO_WORDS, LIABILITIES = ["quick ratio", "current ratio", "liquidity"], "total current liabilities"
 
 
-def lexical_recall(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def lexical_recall(source: Index | DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, bm25: the best FETCHED of hits by words and by prefixes, and those of financial queries' expansion.
 
     Each recall is normalised by its own maximum; a chunk in both keeps the larger."""
-    query = F.col("query")
+    index, query = of(source), F.col("query")
     ratio = Q.contains_any(F.lower(Q.normalize_mixed(query)), RATIO_WORDS)
     financial = Q.is_financial(query)
     parts = F.array_compact(F.array(
@@ -77,11 +85,12 @@ def lexical_recall(chunks: DataFrame, queries: DataFrame) -> DataFrame:
         F.when(financial & ratio, F.struct(F.lit("ratio").alias("part"), F.lit(LIABILITIES).alias("query"))),
     ))
     asked = queries.select("query_id", F.explode(parts).alias("p")).select(F.struct("query_id", "p.part").alias("query_id"), "p.query")
-    terms, index = query_tokens(asked), postings(chunks)
-    size = chunks.select(F.size(X.tokens(F.col("chunk_text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    terms = keep(query_tokens(asked), "terms")
     begun = terms.filter("query_id.part <> 'ratio'")
-    words = top_k(bm25(index, terms, size), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
-    prefixes = top_k(bm25(prefix_postings(index, begun), begun, size), FETCHED).withColumn("order", F.lit(1))
+    words = top_k(ranked(index.postings, counted(index, terms), index.size), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
+    longer = prefix_postings(index, begun)  # made where the postings lie, once for the counts and once for the scores
+    held = keep(longer.groupBy("term").agg(F.count("*").alias("df")).join(begun, "term").select("query_id", "term", "df"), "asked")
+    prefixes = top_k(ranked(longer, held, index.size), FETCHED).withColumn("order", F.lit(1))
     hits = words.unionByName(prefixes).select("query_id.query_id", "query_id.part", "chunk_id", "score", "rank", "order")
     asked_for, ratio_part = F.col("part") == "asked", F.col("part") == "ratio"
     more = ~asked_for & (F.col("rank") <= F.when(ratio_part, FOR_RATIO).otherwise(EXPANDED))
@@ -95,16 +104,15 @@ def lexical_recall(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return each.withColumn("bm25", best).filter("bm25 IS NOT NULL").select("query_id", "chunk_id", "bm25")
 
 
-def boolean_prefix(chunks: DataFrame, queries: DataFrame, k: int = 10, require_all: bool = False) -> DataFrame:
+def boolean_prefix(source: Index | DataFrame, queries: DataFrame, k: int = 10, require_all: bool = False) -> DataFrame:
     """Chunks with words that begin with the query's terms; score: the number of matched terms.
 
-    Terms meet the vocabulary by equality of prefixes: each word offers its prefixes of the lengths that terms have."""
-    index = postings(chunks)
-    terms = query_tokens(queries)
-    lengths = F.broadcast(terms.select(F.length("term").alias("m")).distinct().agg(F.collect_list("m").alias("lengths")))  # as many as there are word lengths
-    vocabulary = index.select("term").distinct().join(lengths)
-    prefixes = vocabulary.select("term", F.explode(F.filter("lengths", lambda m: m <= F.length("term"))).alias("m")).select("term", F.substr("term", F.lit(1), F.col("m")).alias("prefix"))
-    matched = prefixes.join(terms.withColumnRenamed("term", "prefix"), "prefix").join(index, "term").groupBy("query_id", "chunk_id").agg(F.countDistinct("prefix").alias("score"))
+    A chunk's words are reduced to the distinct terms they begin with before these meet the queries."""
+    index = of(source)
+    terms = keep(query_tokens(queries), "terms")
+    begun = begun_words(index, terms)
+    held = index.postings.select(F.col("term").alias("word"), "chunk_id").join(begun, "word").select("chunk_id", "term").distinct()
+    matched = held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
     if require_all:
         matched = matched.join(terms.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").filter("score = wanted").drop("wanted")
     return top_k(matched, k)
@@ -125,15 +133,88 @@ def l2_normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+#: Bytes of query vectors that one task may hold, and rows that meet at once.
+QUERY_BYTES, ROWS_AT_ONCE = 32 << 20, 4096
+
+
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``dim`` numbers and norm above 0: their places and unit vectors."""
+    length = np.diff(np.asarray(column.offsets, np.int64))
+    some = np.flatnonzero(np.asarray(column.is_valid()) & (length == dim))
+    flat = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat[np.asarray(column.offsets, np.int64)[some][:, None] + np.arange(dim)]
+    norm = np.sqrt((x * x).sum(1))
+    good = np.isfinite(norm) & (norm > 0)
+    return some[good], x[good] / norm[good][:, None]
+
+
+def _best_cosines(asked: dict[int, tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """Of vectors (chunk_id, embedding) the k best above 0 for each query of ``asked`` (by length: ids, unit vectors)."""
+    for dim, (names, q) in asked.items():
+        place, x = _unit(batch.column(1), dim)
+        ids = batch.column(0).to_numpy()[place]
+        for a in range(0, len(ids), ROWS_AT_ONCE):
+            own, score = ids[a : a + ROWS_AT_ONCE], np.round(q @ x[a : a + ROWS_AT_ONCE].T, 6)
+            order = np.argsort(-own, kind="stable")  # ties go to larger ids
+            own, score = own[order], score[:, order]
+            n = len(own)
+            floor = np.maximum(np.partition(score, n - k, axis=1)[:, n - k] if n > k else 0.0, 1e-9)
+            row, col = np.nonzero(score >= (floor[:, None] if n > k else floor))
+            order = np.lexsort((col, -score[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            row, col = row[first], col[first]
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(own[col]), pa.array(score[row, col])], ["query_id", "chunk_id", "score"])
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, filters: dict | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: best cosines above 0 of vectors (chunk_id, embedding, payload) for queries
-    (query_id, vector), after equality filters. Queries are few by contract; their side is what Spark broadcasts when its size allows."""
+    (query_id, vector), after equality filters. Ids are longs.
+
+    Vectors are scanned once, in place, against all queries while these take less than QUERY_BYTES, which is counted first;
+    more queries are dealt into blocks of that size, which the vectors then meet block by block."""
     for name, value in (filters or {}).items():
         if value is not None:
             vectors = vectors.filter(F.col(name) == value)
-    pairs = queries.crossJoin(vectors.select("chunk_id", "embedding"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("score")).filter("score > 0")
-    return top_k(scored, k)
+    schema = "query_id long, chunk_id long, score double"
+    rows = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter("chunk_id IS NOT NULL")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id IS NOT NULL AND size(vector) > 0")
+    n_bytes = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)) * 8).first()[0]
+    if n_bytes <= QUERY_BYTES:
+        told = _by_length(asked.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best_cosines(told, batch, k)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        blocks = -(-n_bytes // QUERY_BYTES)
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            told = _by_length(right.select(["query_id", "vector"]))
+            made = [b for batch in left.select(["chunk_id", "embedding"]).combine_chunks().to_batches() for b in _best_cosines(told, batch, k)]
+            return pa.Table.from_batches(made, pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())]))
+
+        # a block of vectors is what one task holds, as a block of queries is
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(max(8, 4 * blocks)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        theirs = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(8, 4 * blocks) - 1).cast("long"))))
+        found = dealt.groupBy("block", "part").cogroup(theirs.groupBy("block", "part")).applyInArrow(meet, schema)
+    return top_k(found, k)
+
+
+def _by_length(asked: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length -> ids and unit vectors of queries (query_id, vector)."""
+    column = asked["vector"].combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    ids = asked["query_id"].to_numpy()
+    out = {}
+    for dim in np.unique(np.diff(np.asarray(column.offsets, np.int64))) if len(column) else ():
+        place, x = _unit(column, int(dim))
+        if len(place):
+            out[int(dim)] = ids[place], x
+    return out
 
 
 def max_normalized(df: DataFrame, *fields: str) -> DataFrame:
@@ -165,22 +246,27 @@ def prefix_hit(term: Column, low: Column) -> Column:
     return F.regexp_like(low, F.concat(F.lit(r"(^|[\s:/._-])"), F.replace(term, F.lit("."), F.lit("[.]"))))
 
 
+def whole_words(terms: Column, low: Column) -> Column:
+    """Those of the (distinct) terms that are whole words of a lower case text. Terms of letters, digits and underscores are looked up
+    among the text's words at once; only the others need a pattern each."""
+    plain = F.array_intersect(terms, F.split(low, "[^a-z0-9_]+"))
+    return F.concat(plain, F.filter(F.filter(terms, lambda t: ~t.rlike("^[a-z0-9_]+$")), lambda t: whole_word(t, low)))
+
+
 def keyword_components(pairs: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, query, chunk_text, title, section) -> keyword, title, section and coverage scores of the query's terms."""
-    each = pairs.select("query_id", "chunk_id", F.explode(Q.terms(F.col("query"))).alias("term"), *(F.lower(c).alias(c) for c in ("chunk_text", "title", "section")))
-    counted = each.groupBy("query_id", "chunk_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(whole_word(F.col("term"), F.col("chunk_text"))).alias("matched"),
-        F.sum(_field_hits("title")).alias("title_hits"),
-        F.sum(_field_hits("section")).alias("section_hits"),
-        F.max(F.contains("title", F.col("term")).cast("int")).alias("in_title"),
-        F.max(F.contains("section", F.col("term")).cast("int")).alias("in_section"),
-    )
-    hit = lambda hits, any_: F.when(F.col("n") >= 2, (F.col(hits) >= 2).cast("double")).otherwise(F.col(any_).cast("double"))
-    return counted.select("query_id", "chunk_id", (F.col("matched") / F.col("n") / 2).alias("keyword_score"), hit("title_hits", "in_title").alias("title_score"), hit("section_hits", "in_section").alias("section_score"), (F.col("matched") / F.col("n")).alias("coverage_score"))
-
-
-def _field_hits(field: str) -> Column:
-    """A term counts in a field once for each of title and section where it is a whole word, provided the field holds it."""
-    found = whole_word(F.col("term"), F.col("title")).cast("int") + whole_word(F.col("term"), F.col("section")).cast("int")
-    return F.when(F.contains(F.col(field), F.col("term")), found).otherwise(0)
+    """Adds keyword_score, title_score, section_score and coverage_score, of the query's terms, to pairs (query, chunk_text, title, section);
+    queries without terms go. A projection: nothing is shuffled.
+
+    A term counts in a field once for each of title and section where it is a whole word, provided the field holds it."""
+    terms, low = F.col("_terms"), {c: F.lower(c) for c in ("chunk_text", "title", "section")}
+    each = pairs.withColumn("_terms", Q.terms(F.col("query"))).filter(F.size("_terms") > 0)
+    each = each.withColumns({"_title": whole_words(terms, low["title"]), "_section": whole_words(terms, low["section"]), "_n": F.size(terms)})
+    within = lambda words, field: F.size(F.filter(words, lambda t: F.contains(low[field], t)))
+
+    def hit(field: str) -> Column:
+        hits = within("_title", field) + within("_section", field)
+        return F.when(F.col("_n") >= 2, (hits >= 2).cast("double")).otherwise(F.exists(terms, lambda t: F.contains(low[field], t)).cast("double"))
+
+    coverage = F.size(whole_words(terms, low["chunk_text"])) / F.col("_n")
+    scored = each.withColumns({"coverage_score": coverage, "title_score": hit("title"), "section_score": hit("section")})
+    return scored.withColumn("keyword_score", F.col("coverage_score") / 2).drop("_terms", "_title", "_section", "_n")

@@ -12,7 +12,9 @@ from vellum.functions import signals as S
 from vellum.functions import spans, tables
 from vellum.functions import text as X
 from vellum.operators import evaluation, indexing, ranking, search, store
-from vellum.sources import blocks, chunking
+from vellum.operators.index import Index
+from vellum.operators.index import stored as build_index
+from vellum.sources import blocks, chunking, scratch
 from vellum.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +41,17 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.word_windows(table(spark, sf_dir, "documents"))
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents' chunks, written once a session for each version of the documents."""
+    key = (spark.sparkContext.applicationId, *scratch.stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(chunk_table(spark, sf_dir), key[2])
+    return _INDEXES[key]
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -47,7 +60,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 CHUNKS = r"""listed AS (SELECT doc_id, concat_ws(' ', source, lang) AS title, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
-    chunks AS (SELECT doc_id, i AS chunk_index, doc_id * 1000 + i AS chunk_id, array_to_string(w[i * 80 + 1:i * 80 + 80], ' ') AS chunk_text,
+    chunks AS (SELECT doc_id, i AS chunk_index, doc_id * 16777216 + i AS chunk_id, array_to_string(w[i * 80 + 1:i * 80 + 80], ' ') AS chunk_text,
         title, 'part ' || (i // 5) AS section, i // 3 + 1 AS page_start FROM listed, unnest(range(0, (len(w) + 79) // 80)) AS u(i))"""
 POSTINGS = CHUNKS + f""", tok AS (SELECT chunk_id, {TOKENS.format("chunk_text")} AS t FROM chunks),
     postings AS (SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY term, chunk_id),
@@ -243,13 +256,13 @@ def query_rewrite(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def fulltext_topk(spark, sf_dir):
-    return search.fulltext(chunk_table(spark, sf_dir), questions(spark, sf_dir), 10)
+    return search.fulltext(index(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
 @query(f"""WITH {POSTINGS}, scored AS (SELECT query_id, chunk_id, round(sum(tf * pow(log10(n / df), 2)), 6) AS score FROM postings JOIN qterms USING (term) JOIN freq USING (term), totals GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC)::INTEGER AS rank FROM scored QUALIFY rank <= 10""")
 def fulltext_tfidf2(spark, sf_dir):
-    return search.fulltext(chunk_table(spark, sf_dir), questions(spark, sf_dir), 10, "tfidf2")
+    return search.fulltext(index(spark, sf_dir), questions(spark, sf_dir), 10, "tfidf2")
 
 
 def boolean_sql(require_all: bool) -> str:
@@ -262,12 +275,12 @@ def boolean_sql(require_all: bool) -> str:
 
 @query(boolean_sql(False))
 def boolean_prefix_any(spark, sf_dir):
-    return search.boolean_prefix(chunk_table(spark, sf_dir), questions(spark, sf_dir), 10)
+    return search.boolean_prefix(index(spark, sf_dir), questions(spark, sf_dir), 10)
 
 
 @query(boolean_sql(True))
 def boolean_prefix_all(spark, sf_dir):
-    return search.boolean_prefix(chunk_table(spark, sf_dir), questions(spark, sf_dir), 10, True)
+    return search.boolean_prefix(index(spark, sf_dir), questions(spark, sf_dir), 10, True)
 
 
 def stored_vectors(spark, sf_dir):
@@ -304,30 +317,43 @@ def word_sql(field: str) -> str:
 
 
 RECALL = f"""{BM25}, lex AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS bm25 FROM ranked WHERE rank <= 20),
-    vec AS (SELECT query_id, chunk_id * 1000 AS chunk_id, score AS embedding FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS r FROM ({VECTORS}) WHERE score > 0) WHERE r <= 20),
+    vec AS (SELECT query_id, chunk_id * 16777216 AS chunk_id, score AS embedding FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id DESC) AS r FROM ({VECTORS}) WHERE score > 0) WHERE r <= 20),
     merged AS (SELECT query_id, chunk_id, coalesce(max(bm25), 0) AS bm25, coalesce(max(embedding), 0) AS embedding FROM (SELECT query_id, chunk_id, bm25, NULL AS embedding FROM lex UNION ALL SELECT query_id, chunk_id, NULL, embedding FROM vec) GROUP BY ALL)"""
-KEYWORDS = f"""{RECALL}, cand AS (SELECT m.query_id, m.chunk_id, m.bm25, m.embedding, b.text AS query, c.doc_id, c.chunk_index, c.chunk_text, c.title, c.section, c.page_start FROM merged m JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = m.query_id),
-    kt AS (SELECT query_id, chunk_id, unnest({terms_sql('query')}) AS term, lower(chunk_text) AS ct, lower(title) AS ti, lower(section) AS se FROM cand),
+CAND = """cand AS (SELECT m.query_id, m.chunk_id, m.bm25, m.embedding, b.text AS query, c.doc_id, c.chunk_index, c.chunk_text, c.title, c.section, c.page_start
+        FROM merged m JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = m.query_id)"""
+#: Keyword scores (kw) of candidates (cand).
+KW = f"""kt AS (SELECT query_id, chunk_id, unnest({terms_sql('query')}) AS term, lower(chunk_text) AS ct, lower(title) AS ti, lower(section) AS se FROM cand),
     kh AS (SELECT *, ({word_sql('ti')})::INT + ({word_sql('se')})::INT AS found FROM kt),
-    kc AS (SELECT query_id, chunk_id, count(*) AS n, count_if({word_sql('ct')}) AS matched, sum(CASE WHEN contains(ti, term) THEN found ELSE 0 END) AS th, sum(CASE WHEN contains(se, term) THEN found ELSE 0 END) AS sh, max(contains(ti, term)::INT) AS it, max(contains(se, term)::INT) AS ins FROM kh GROUP BY ALL),
-    kw AS (SELECT query_id, chunk_id, matched / n / 2 AS keyword, CASE WHEN n >= 2 THEN (th >= 2)::INT ELSE it END::DOUBLE AS title_score, CASE WHEN n >= 2 THEN (sh >= 2)::INT ELSE ins END::DOUBLE AS section_score, matched / n AS coverage FROM kc)"""
+    kc AS (SELECT query_id, chunk_id, count(*) AS n, count_if({word_sql('ct')}) AS matched, sum(CASE WHEN contains(ti, term) THEN found ELSE 0 END) AS th,
+        sum(CASE WHEN contains(se, term) THEN found ELSE 0 END) AS sh, max(contains(ti, term)::INT) AS it, max(contains(se, term)::INT) AS ins FROM kh GROUP BY ALL),
+    kw AS (SELECT query_id, chunk_id, matched / n / 2 AS keyword, CASE WHEN n >= 2 THEN (th >= 2)::INT ELSE it END::DOUBLE AS title_score,
+        CASE WHEN n >= 2 THEN (sh >= 2)::INT ELSE ins END::DOUBLE AS section_score, matched / n AS coverage FROM kc)"""
+KEYWORDS = f"{RECALL}, {CAND}, {KW}"
+
+
+def vector_hits(spark, sf_dir):
+    """The 20 nearest vectors of a question; a document's vector stands for its first chunk."""
+    vectors = search.vector_top_k(stored_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
+    return vectors.select("query_id", chunking.chunk_id(F.col("chunk_id")).alias("chunk_id"), F.col("score").alias("embedding"))
+
+
+def hydrated(spark, sf_dir, merged):
+    """Candidates with their chunks and questions. They are few next to the chunks: written, they are what Spark broadcasts."""
+    few = scratch.keep(merged, "candidates")
+    return index(spark, sf_dir).chunks.drop("dl").join(few, "chunk_id").join(questions(spark, sf_dir), "query_id")
 
 
 def recalled(spark, sf_dir):
     """Candidates of full text and vectors, with scores and chunks."""
-    questions_, chunks = questions(spark, sf_dir), chunk_table(spark, sf_dir)
-    lexical = search.max_normalized(search.fulltext(chunks, questions_, 20).select("query_id", "chunk_id", "score"), "score").withColumnRenamed("score", "bm25")
-    vectors = search.vector_top_k(stored_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
-    vectors = vectors.select("query_id", (F.col("chunk_id") * 1000).alias("chunk_id"), F.col("score").alias("embedding"))  # a document's vector stands for its first chunk
-    return search.merge([lexical, vectors], ["bm25", "embedding"]).join(chunks, "chunk_id").join(questions_, "query_id")
+    found = search.fulltext(index(spark, sf_dir), questions(spark, sf_dir), 20).select("query_id", "chunk_id", "score")
+    lexical = search.max_normalized(found, "score").withColumnRenamed("score", "bm25")
+    return hydrated(spark, sf_dir, search.merge([lexical, vector_hits(spark, sf_dir)], ["bm25", "embedding"]))
 
 
 def recalled_whole(spark, sf_dir):
     """Candidates as ``recalled`` gives them, but all that the reference fetches: 400 by words and prefixes, and the expansion of financial questions."""
-    questions_, chunks = questions(spark, sf_dir), chunk_table(spark, sf_dir)
-    vectors = search.vector_top_k(stored_vectors(spark, sf_dir), question_vectors(spark, sf_dir), 20)
-    vectors = vectors.select("query_id", (F.col("chunk_id") * 1000).alias("chunk_id"), F.col("score").alias("embedding"))
-    return search.merge([search.lexical_recall(chunks, questions_), vectors], ["bm25", "embedding"]).join(chunks, "chunk_id").join(questions_, "query_id")
+    lexical = search.lexical_recall(index(spark, sf_dir), questions(spark, sf_dir))
+    return hydrated(spark, sf_dir, search.merge([lexical, vector_hits(spark, sf_dir)], ["bm25", "embedding"]))
 
 
 @query(f"WITH {RECALL} SELECT query_id, chunk_id, round(bm25, 6) AS bm25, embedding FROM merged JOIN chunks USING (chunk_id)")
@@ -342,9 +368,8 @@ def keyword_components(spark, sf_dir, recall=recalled):
 
 
 def candidates(spark, sf_dir, recall=recalled):
-    found = recall(spark, sf_dir)
-    scores = search.keyword_components(found).withColumnsRenamed({"keyword_score": "keyword", "coverage_score": "coverage"})
-    return ranking.fused_score(found.join(scores, ["query_id", "chunk_id"]).withColumns({"block_count": F.lit(1), "depth": F.lit(1)}))
+    scored = search.keyword_components(recall(spark, sf_dir)).withColumnsRenamed({"keyword_score": "keyword", "coverage_score": "coverage"})
+    return ranking.fused_score(scored.withColumns({"block_count": F.lit(1), "depth": F.lit(1)}))
 
 
 # --- signals, over chunks, for a fixed query where one is needed
@@ -373,11 +398,18 @@ def signal_sql(name: str) -> str:
     if name == "causal":
         n = hits_sql(f"lower({two})", S.CAUSAL)
         return f"CASE WHEN {n} >= 1 THEN least(0.06::DOUBLE, {n} * 0.025::DOUBLE) * 1.5::DOUBLE + CASE WHEN contains({t}, '$') OR contains({t}, '%') THEN 0.04::DOUBLE ELSE 0.02::DOUBLE END ELSE 0.0 END"
-    if name == "intent":
-        n = hits_sql(f"lower({two} || ' ' || section)", S.NUMERIC_INTENT)
-        return f"CASE WHEN {n} >= 3 THEN 0.07::DOUBLE WHEN {n} = 2 THEN 0.07::DOUBLE * 0.65::DOUBLE WHEN {n} = 1 THEN 0.07::DOUBLE * 0.3::DOUBLE ELSE 0.0 END"
-    n = hits_sql(f"lower({t} || ' ' || section)", S.RATIOS["quick ratio"])
-    return f"CASE WHEN {n} >= 4 THEN 1.2 WHEN {n} = 3 THEN 1.0 WHEN {n} = 2 THEN 0.7 WHEN {n} = 1 THEN 0.35 ELSE 0.0 END::DOUBLE"
+    if name.startswith("intent"):
+        n, k, d = hits_sql(f"lower({two} || ' ' || section)", S.NUMERIC_INTENT), hits_sql(f"lower({two} || ' ' || section)", S.LIST_INTENT), hits_sql(s, S.DESCRIPTIVE_INTENT)
+        numeric = f"CASE WHEN {n} >= 3 THEN 0.07::DOUBLE WHEN {n} = 2 THEN 0.07::DOUBLE * 0.65::DOUBLE WHEN {n} = 1 THEN 0.07::DOUBLE * 0.3::DOUBLE ELSE 0.0 END"
+        listed = f"CASE WHEN {k} >= 2 THEN 0.07::DOUBLE WHEN {k} = 1 THEN 0.07::DOUBLE * 0.5::DOUBLE ELSE 0.0 END"
+        told = f"CASE WHEN {d} >= 1 THEN 0.07::DOUBLE * 0.5::DOUBLE ELSE 0.0 END"
+        return numeric if name == "intent" else f"CASE intent WHEN 'numeric_fact' THEN {numeric} WHEN 'list_fact' THEN {listed} WHEN 'descriptive' THEN {told} ELSE 0.0 END"
+    whole, digits = f"lower({t} || ' ' || section)", f"len(list_filter(string_split({t}, chr(10)), lambda r: regexp_matches(r, '[0-9]')))"
+    single = f"CASE WHEN contains({whole}, 'total current liabilities') AND {digits} >= 3 THEN 2.5 ELSE 0.35 END"
+    boost = {r: f"CASE WHEN {hits_sql(whole, p)} >= 4 THEN 1.2 WHEN {hits_sql(whole, p)} = 3 THEN 1.0 WHEN {hits_sql(whole, p)} = 2 THEN 0.7 WHEN {hits_sql(whole, p)} = 1 THEN {single} ELSE 0.0 END::DOUBLE" for r, p in S.RATIOS.items()}
+    if name == "ratio":
+        return boost["quick ratio"]
+    return "CASE " + " ".join(f"WHEN contains(lq, {quote(r)}) THEN {x}" for r, x in boost.items()) + " ELSE 0.0 END"
 
 
 def _signal(name: str, column) -> None:
@@ -400,22 +432,28 @@ _signal("ratio", lambda t, s: S.ratio_boost(t, s, F.lit(RATIO_QUERY)))
 
 # --- ranking
 
-FUSED = f"""{KEYWORDS}, pd AS (SELECT *, count(page_start) OVER (PARTITION BY query_id, page_start) AS on_page FROM cand),
+#: Final scores (fused, top) of candidates (cand) with their keyword scores (kw).
+SCORED = f"""pd AS (SELECT *, count(page_start) OVER (PARTITION BY query_id, page_start) AS on_page FROM cand),
     pages AS (SELECT query_id, count(DISTINCT page_start) AS pages FROM cand GROUP BY 1),
-    ki AS (SELECT item_id AS query_id, {count_sql('lower(text)', Q.NUMERIC)} AS n, {count_sql('lower(text)', Q.LISTS)} AS s, {count_sql('lower(text)', Q.DESCRIPTIVE)} AS d, len({terms_sql('text')}) AS nt, {hits_sql('lower(text)', ['quick ratio', 'current ratio', 'liquidity', 'working capital'])} > 0 AS rq,
-        {hits_sql('lower(text)', S.DRIVERS)} > 0 AS drv FROM benchmark),
+    asked AS (SELECT DISTINCT query_id, query, lower({mixed_sql('query')}) AS lq, lower(query) AS plain FROM cand),
+    counts AS (SELECT *, {count_sql('plain', Q.NUMERIC)} AS n, {count_sql('plain', Q.LISTS)} AS s, {count_sql('plain', Q.DESCRIPTIVE)} AS d FROM asked),
+    intents AS (SELECT *, CASE WHEN n > s AND n > d THEN 'numeric_fact' WHEN s > n AND s > d THEN 'list_fact' WHEN d > n AND d > s THEN 'descriptive' ELSE 'hybrid' END AS intent FROM counts),
+    ki AS (SELECT query_id, lq, intent, len({terms_sql('query')}) <= 2 AS few, {hits_sql('lq', S.DRIVERS)} > 0 AS drv,
+        intent = 'numeric_fact' AND {hits_sql('lq', ['quick ratio', 'current ratio', 'liquidity', 'working capital'])} > 0 AS rq FROM intents),
     fused AS (SELECT pd.query_id, pd.chunk_id, pd.doc_id, pd.chunk_index, pd.section, pd.page_start, pd.chunk_text, round(
-        CASE WHEN ki.nt <= 2 THEN 0.40::DOUBLE ELSE 0.45::DOUBLE END * embedding
-        + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.35 WHEN ki.nt <= 2 THEN 0.23 ELSE 0.20 END::DOUBLE * keyword
-        + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.25 WHEN ki.nt <= 2 THEN 0.12 ELSE 0.10 END::DOUBLE * bm25
-        + 0.15::DOUBLE * title_score + 0.10::DOUBLE * section_score + 0.08::DOUBLE * coverage + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.06 ELSE 0.0 END::DOUBLE + 0.035::DOUBLE
+        CASE WHEN rq THEN 0.10 WHEN few THEN 0.40 ELSE 0.45 END::DOUBLE * embedding
+        + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.35 WHEN rq THEN 0.35 WHEN few THEN 0.23 ELSE 0.20 END::DOUBLE * keyword
+        + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.25 WHEN rq THEN 0.35 WHEN few THEN 0.12 ELSE 0.10 END::DOUBLE * bm25
+        + CASE WHEN rq THEN 0.10 ELSE 0.15 END::DOUBLE * title_score + 0.10::DOUBLE * section_score + 0.08::DOUBLE * coverage
+        + CASE WHEN embedding = 0 AND bm25 > 0 THEN 0.06 ELSE 0.0 END::DOUBLE + 0.035::DOUBLE
         + {signal_sql('narrative')}
-        + CASE WHEN pages.pages <= 1 THEN 0.0 WHEN on_page < 20 / least(pages.pages, 5) THEN 0.03::DOUBLE * (1 - on_page / (20 / least(pages.pages, 5)))
+        + CASE WHEN page_start IS NULL OR pages.pages <= 1 THEN 0.0 WHEN on_page < 20 / least(pages.pages, 5) THEN 0.03::DOUBLE * (1 - on_page / (20 / least(pages.pages, 5)))
             WHEN on_page > 20 / least(pages.pages, 5) * 1.5 THEN -0.02::DOUBLE * (on_page / (20 / least(pages.pages, 5)) - 1) ELSE 0.0 END
         + {signal_sql('causal').replace('* 1.5::DOUBLE', '* CASE WHEN ki.drv THEN 1.5::DOUBLE ELSE 1.0 END')}
-        + {signal_sql('numeric')} + {signal_sql('table')} + CASE WHEN ki.n > ki.s AND ki.n > ki.d THEN {signal_sql('intent')} ELSE 0.0 END + {signal_sql('noise')} - {signal_sql('length')}, 6) AS final_score
+        + {signal_sql('numeric')} + {signal_sql('table')} + {signal_sql('intents')} + {signal_sql('ratios')} + {signal_sql('noise')} - {signal_sql('length')}, 6) AS final_score
         FROM pd JOIN kw USING (query_id, chunk_id) JOIN pages USING (query_id) JOIN ki USING (query_id)),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id DESC)::INTEGER AS rank FROM fused)"""
+FUSED = f"{KEYWORDS}, {SCORED}"
 
 
 @query(f"WITH {FUSED} SELECT query_id, chunk_id, doc_id, final_score, rank FROM top WHERE rank <= 10")
@@ -453,8 +491,8 @@ def greedy_dedup(spark, sf_dir, recall=recalled):
     u AS (SELECT query_id, chunk_id, final_score, false AS is_neighbor, 0 AS late, rank AS a, 0 AS b FROM cen UNION ALL SELECT query_id, chunk_id, round(least(final_score * 0.45::DOUBLE, final_score - 0.7::DOUBLE), 6), true, 1, a, b FROM one)
     SELECT query_id, chunk_id, final_score, is_neighbor FROM u QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY late, a, b, chunk_id) <= 15 OR NOT is_neighbor""")
 def neighbor_expand(spark, sf_dir, recall=recalled):
-    centers = search.top_k(candidates(spark, sf_dir, recall), 10, "final_score")
-    return ranking.with_neighbors(centers, chunk_table(spark, sf_dir), 15)
+    centers = scratch.keep(search.top_k(candidates(spark, sf_dir, recall), 10, "final_score").drop("dl"), "centers")
+    return ranking.with_neighbors(centers, index(spark, sf_dir).chunks, 15)
 
 
 @query()
@@ -573,24 +611,26 @@ def sharegpt_convert(spark, sf_dir):
 
 GOLD = f"""{BM25}, dw AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), bw AS (SELECT item_id AS query_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
     dg AS (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS gram FROM dw, unnest(range(1, len(w) - 6)) AS u(i)), bg AS (SELECT query_id, array_to_string(w[i:i + 7], ' ') AS gram FROM bw, unnest(range(1, len(w) - 6)) AS u(i)),
-    gold AS (SELECT DISTINCT query_id, doc_id FROM bg JOIN dg USING (gram)), got AS (SELECT query_id, chunk_id, chunk_id // 1000 AS doc_id, chunk_id % 1000 // 3 + 1 AS page_start, rank FROM ranked WHERE rank <= 10)"""
+    gold AS (SELECT DISTINCT query_id, doc_id FROM bg JOIN dg USING (gram)), got AS (SELECT query_id, chunk_id, chunk_id >> 24 AS doc_id, (chunk_id & 16777215) // 3 + 1 AS page_start, rank FROM ranked WHERE rank <= 10)"""
 
 
 def gold_documents(spark, sf_dir):
-    """Documents that share eight words in a row with a question."""
+    """Documents that share eight words in a row with a question. Only the questions' grams are kept of the documents', by hash before any string is made."""
 
     def grams(df, key):
         listed = df.select(key, X.words(F.col("text")).alias("w")).filter(F.size("w") >= 8)
         at = F.explode(F.sequence(F.lit(1), F.size("w") - 7)).alias("i")
-        return listed.select(key, "w", at).select(key, F.array_join(F.slice("w", F.col("i"), F.lit(8)), " ").alias("gram"))
+        return listed.select(key, "w", at).select(key, F.slice("w", F.col("i"), F.lit(8)).alias("gram")).withColumn("h", F.xxhash64("gram"))
 
-    asked = grams(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id")
-    return asked.join(grams(table(spark, sf_dir, "documents"), "doc_id"), "gram").select("query_id", "doc_id").distinct()
+    asked = scratch.keep(grams(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id").distinct(), "grams")
+    held = grams(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("gram", "theirs")
+    return held.join(asked, "h").filter("gram = theirs").select("query_id", "doc_id").distinct()
 
 
 def retrieved(spark, sf_dir):
-    found = search.fulltext(chunk_table(spark, sf_dir), questions(spark, sf_dir), 10)
-    return found.select("query_id", "chunk_id", F.floor(F.col("chunk_id") / 1000).alias("doc_id"), (F.floor(F.col("chunk_id") % 1000 / 3) + 1).alias("page_start"), "rank")
+    found = search.fulltext(index(spark, sf_dir), questions(spark, sf_dir), 10)
+    page = F.floor(chunking.index_of(F.col("chunk_id")) / 3) + 1
+    return found.select("query_id", "chunk_id", chunking.document_of(F.col("chunk_id")).alias("doc_id"), page.alias("page_start"), "rank")
 
 
 MRR = f"""{GOLD}, fst AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS pos FROM got GROUP BY query_id, doc_id),
@@ -616,17 +656,17 @@ def page_hit(spark, sf_dir):
     return evaluation.page_metrics(retrieved(spark, sf_dir).withColumn("page_end", F.lit(None).cast("long")), gold, 1)
 
 
-@query(f"""WITH {GOLD}, gc AS (SELECT query_id, doc_id * 1000 AS chunk_id FROM gold), h AS (SELECT r.query_id, min(r.rank) AS pos, count(*) AS found FROM got r JOIN gc USING (query_id, chunk_id) WHERE r.rank <= 5 GROUP BY 1), w AS (SELECT query_id, count(*) AS wanted FROM gc GROUP BY 1)
+@query(f"""WITH {GOLD}, gc AS (SELECT query_id, doc_id * 16777216 AS chunk_id FROM gold), h AS (SELECT r.query_id, min(r.rank) AS pos, count(*) AS found FROM got r JOIN gc USING (query_id, chunk_id) WHERE r.rank <= 5 GROUP BY 1), w AS (SELECT query_id, count(*) AS wanted FROM gc GROUP BY 1)
     SELECT query_id, coalesce(pos <= 1, false) AS hit_at_1, coalesce(pos <= 3, false) AS hit_at_3, coalesce(pos <= 5, false) AS hit_at_5, round(coalesce(found, 0) / wanted, 4) AS recall_at_5, coalesce(round(1 / pos, 4), 0.0)::DOUBLE AS mrr FROM w LEFT JOIN h USING (query_id)""")
 def recall_at_k(spark, sf_dir):
     """Gold chunks: the first of each gold document."""
-    gold = gold_documents(spark, sf_dir).select("query_id", (F.col("doc_id") * 1000).alias("chunk_id"))
+    gold = gold_documents(spark, sf_dir).select("query_id", chunking.chunk_id(F.col("doc_id")).alias("chunk_id"))
     return evaluation.chunk_metrics(retrieved(spark, sf_dir), gold)
 
 
 @query()
 def evidence_similarity(spark, sf_dir):
-    found = retrieved(spark, sf_dir).join(chunk_table(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id").join(questions(spark, sf_dir), "query_id")
+    found = retrieved(spark, sf_dir).join(index(spark, sf_dir).chunks.select("chunk_id", "chunk_text"), "chunk_id").join(questions(spark, sf_dir), "query_id")
     return found.select("query_id", "chunk_id", F.round(evaluation.lexical_similarity(F.col("chunk_text"), F.col("query")), 6).alias("similarity"))
 
 
