@@ -10,6 +10,10 @@ from vellum.functions import text as X
 # fixed values: phrases of refusals
 REFUSALS = ["没有足够信息", "无法确认", "当前未看到", "不能确认", "没有证据", "信息不足", "无法从", "知识库中未找到", "暂未找到", "没有找到相关", "not enough information", "cannot confirm", "insufficient information", "no relevant", "知识库里没有", "未提供"]
 VERIFIER_REFUSALS = ["insufficient information", "not enough information", "cannot confirm", "no relevant", "insufficient context", "知识库中未找到"]
+# fixed values: phrases that ask back, answer labels in the order of reports, and labels from best to worst as run diffs rank them
+CLARIFICATIONS = ["你想具体看", "你指的是哪个", "能具体说明", "能否补充", "请提供更多", "请说明", "具体是哪部分", "具体指"]
+LABELS = ["exact", "partial", "wrong", "refuse_correct", "refuse_wrong", "clarify_correct", "clarify_wrong"]
+RANKED_LABELS = ["exact", "partial", "wrong", "refuse_wrong", "refuse_correct", "clarify_correct", "clarify_wrong"]
 NUMBER = r"[\d,]+\.?\d*%?|[$€£¥]?\d+\.?\d*%"
 
 
@@ -142,6 +146,152 @@ def summary(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), rate("doc_hit_at_1"), rate("doc_hit_at_5"), F.round(F.avg("doc_mrr"), 4).alias("doc_mrr"))
 
 
+def level_metrics(hits: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """query_id, {name}_hit_at_1, {name}_hit_at_5, {name}_mrr for every query of ``asked``, from the (query_id, rank) that hit."""
+    best = hits.filter("rank <= 5").groupBy("query_id").agg(F.min("rank").alias("at"))
+    scored = asked.select("query_id").distinct().join(best, "query_id", "left")
+    return scored.select(
+        "query_id", F.coalesce((F.col("at") == 1).cast("int"), F.lit(0)).alias(f"{name}_hit_at_1"), F.col("at").isNotNull().cast("int").alias(f"{name}_hit_at_5"),
+        F.coalesce(F.round(1 / F.col("at"), 4), F.lit(0.0)).alias(f"{name}_mrr"),
+    )
+
+
+def section_metrics(retrieved: DataFrame, gold: DataFrame, window: int = 3) -> DataFrame:
+    """Page metrics under the names of sections: a section is the pages within ``window`` of a gold page."""
+    return page_metrics(retrieved, gold, window).withColumnsRenamed({"page_hit_at_1": "section_hit_at_1", "page_hit_at_5": "section_hit_at_5", "page_mrr": "section_mrr"})
+
+
+def evidence_metrics(retrieved: DataFrame, gold: DataFrame, lexical: float = 0.42, semantic: float = 0.78) -> DataFrame:
+    """Text and semantic evidence metrics of (query_id, rank, chunk_text and, from a model, cosine) for gold (query_id, evidence): a chunk
+    holds a gold text, or resembles one by words (``lexical``) or by vectors (``semantic``). Chunks without cosine go by words alone."""
+    if "cosine" not in retrieved.columns:
+        retrieved = retrieved.withColumn("cosine", F.lit(None).cast("double"))
+    told = gold.filter("evidence <> ''")
+    pairs = retrieved.filter("rank <= 5").join(told, "query_id")
+    text, evidence = F.col("chunk_text"), F.col("evidence")
+    alike, filled = lexical_similarity(text, evidence), X.blank(text) != ""
+    reached = F.greatest(F.when(alike >= lexical, alike).otherwise(0.0), F.when(filled & (F.col("cosine") >= semantic), F.col("cosine")).otherwise(0.0))
+    each = pairs.select("query_id", "rank", (filled & F.contains(normalized(text), normalized(evidence))).alias("held"), reached.alias("score"))
+    each = each.groupBy("query_id", "rank").agg(F.max("held").alias("held"), F.max("score").alias("score"))
+    best = each.groupBy("query_id").agg(F.round(F.max("score"), 4).alias("best"))
+    texts = level_metrics(each.filter("held"), told, "evidence_text")
+    likeness = level_metrics(each.filter(F.col("score") >= min(lexical, semantic)), told, "evidence_semantic")
+    met = texts.join(likeness, "query_id").join(best, "query_id", "left")
+    return met.withColumn("evidence_semantic_best_score", F.coalesce("best", F.lit(0.0))).drop("best").withColumn("evidence_lexical_hit_at_5", F.col("evidence_semantic_hit_at_5"))
+
+
+def gold_metrics(retrieved: DataFrame, gold_chunks: DataFrame, gold_docs: DataFrame) -> DataFrame:
+    """query_id, hit_at_1, hit_at_3, hit_at_5, recall_at_5, mrr: a retrieved row (query_id, rank, chunk_id, doc_id) hits by its chunk_id, or, where it
+    has none, by its doc_id. Recall is over the query's gold chunks, or its gold documents if it has no chunks."""
+    chunks, docs = gold_chunks.select("query_id", "chunk_id").distinct(), gold_docs.select("query_id", "doc_id").distinct()
+    wanted = chunks.groupBy("query_id").agg(F.count("*").alias("c")).join(docs.groupBy("query_id").agg(F.count("*").alias("d")), "query_id", "full")
+    top = retrieved.filter("rank <= 5").withColumn("by_doc", F.when(F.col("chunk_id").isNull(), F.col("doc_id")))
+    met = top.join(chunks.withColumn("_c", F.lit(True)), ["query_id", "chunk_id"], "left")
+    met = met.join(docs.select("query_id", F.col("doc_id").alias("by_doc"), F.lit(True).alias("_d")), ["query_id", "by_doc"], "left")
+    hits = met.filter("_c OR _d").groupBy("query_id").agg(F.min("rank").alias("at"), F.count("*").alias("found"))
+    scored = wanted.join(hits, "query_id", "left")
+    within = lambda k: F.coalesce(F.col("at") <= k, F.lit(False)).alias(f"hit_at_{k}")
+    recall = F.round(F.coalesce("found", F.lit(0)) / F.coalesce("c", "d"), 4)
+    return scored.select("query_id", within(1), within(3), within(5), recall.alias("recall_at_5"), F.coalesce(F.round(1 / F.col("at"), 4), F.lit(0.0)).alias("mrr"))
+
+
+def _plain(c: Column) -> Column:
+    return F.lower(X.strip(F.regexp_replace(X.blank(c), r"\s+", " ")))
+
+
+def answer_scores(df: DataFrame) -> DataFrame:
+    """Adds answer_label, must_include_hit_ratio and violations to (answer, gold_answer, must_include, must_not_include, expected)."""
+    answer, gold = _plain(F.col("answer")), _plain(F.col("gold_answer"))
+    said = lambda phrases: F.exists(F.lit(phrases), lambda p: F.contains(answer, p))
+    held = lambda name: F.filter(name, lambda p: F.contains(answer, _plain(p)))
+    wanted = F.size("must_include")
+    ratio = F.when(wanted > 0, F.size(held("must_include")) / F.when(wanted > 0, wanted)).otherwise(1.0)
+    violations = held("must_not_include")
+    answered = F.when((gold != "") & fuzzy_equal(answer, gold), "exact").when((ratio >= 0.5) & (F.size(violations) == 0), "partial").otherwise("wrong")
+    label = (
+        F.when(F.col("expected") == "answer", answered).when(F.col("expected") == "refuse", F.when(said(REFUSALS), "refuse_correct").otherwise("refuse_wrong"))
+        .when(F.col("expected") == "clarify", F.when(said(CLARIFICATIONS), "clarify_correct").otherwise("clarify_wrong")).otherwise("wrong")
+    )
+    known = F.col("expected").isin("answer", "refuse", "clarify")
+    none = F.array().cast("array<string>")
+    return df.withColumns({"answer_label": label, "must_include_hit_ratio": F.when(known, F.round(ratio, 4)).otherwise(0.0), "violations": F.when(known, violations).otherwise(none)})
+
+
+def with_gold(results: DataFrame, samples: DataFrame, fields: list[str]) -> DataFrame:
+    """Results with the gold fields of the sample of their id; what a result itself holds counts only where there is no sample."""
+    named = samples.select("id", F.lit(True).alias("_sample"), *(F.col(f).alias(f"_{f}") for f in fields))
+    met = results.join(named, "id", "left")
+    return met.withColumns({f: F.when(F.col("_sample"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).drop("_sample", *(f"_{f}" for f in fields))
+
+
+def label_gate(df: DataFrame) -> DataFrame:
+    """Adds retrieval_scored and skip_reason by label_status and gold_doc_ids."""
+    scored = F.coalesce(F.col("label_status"), F.lit("unlabeled")).isin("labeled_doc", "labeled_chunk")
+    reason = F.when(scored, "").when(F.coalesce(F.size("gold_doc_ids"), F.lit(0)) <= 0, "no_gold_doc_ids").otherwise("unlabeled_or_unanswerable")
+    return df.withColumns({"retrieval_scored": scored, "skip_reason": reason})
+
+
+def retrieval_averages(records: DataFrame) -> DataFrame:
+    """One row: shares of hits, recall, reciprocal rank and evidence hits over records that were not skipped."""
+    kept = records.filter("NOT skipped")
+    share = lambda c: F.coalesce(F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 4), F.lit(0.0)).alias(c)
+    fields = ["hit_at_1", "hit_at_3", "hit_at_5", "recall_at_5", "mrr", "page_strict_hit_at_5", "page_relaxed_hit_at_5", "section_hit_at_5", "evidence_semantic_hit_at_5", "evidence_lexical_hit_at_5"]
+    return kept.agg(F.count("*").alias("labeled_cases"), *(share(c) for c in fields if c in records.columns))
+
+
+def answer_averages(records: DataFrame) -> DataFrame:
+    """One row: the count of each of the seven labels, zeros included, and the rates of supported, refined, consistent and cited answers."""
+    rate = lambda c, name: F.coalesce(F.round(F.try_divide(F.count_if(F.coalesce(F.col(c), F.lit(False))), F.count("*")), 4), F.lit(0.0)).alias(name)
+    return records.agg(
+        *(F.count_if(F.col("answer_label") == label).alias(label) for label in LABELS),
+        rate("supported", "answer_supported_rate"), rate("refined", "answer_refined_rate"), rate("numeric_consistent", "numeric_verifier_pass_rate"), rate("cited", "citation_adequate_rate"),
+    )
+
+
+def full_summary(records: DataFrame, hits: list[str], means: list[str], label: str = "answer_label") -> DataFrame:
+    """One row: n, "x/n" of each hit, the mean of each rank over records that have one, and a map of labels to counts. The labels are
+    counted first, so one row a label meets the rest."""
+    rate = lambda c: F.format_string("%d/%d", F.count_if(F.col(c) == 1), F.count("*")).alias(c)
+    counted = records.groupBy(F.coalesce(F.col(label), F.lit("wrong")).alias("label")).agg(F.count("*").alias("c"))
+    labels = counted.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "c")))).alias("labels"))
+    totals = records.agg(F.count("*").alias("n"), *(rate(c) for c in hits), *(F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias(c) for c in means))
+    return totals.join(F.broadcast(labels))  # one row each
+
+
+def failure_breakdown(records: DataFrame, most: int = 80) -> DataFrame:
+    """reason, n and share of the records of each failure reason, and their ids and the first ``most`` characters of their questions as rows
+    of (reason, at): a reason with many records is many rows, not one long list."""
+    total = records.agg(F.count("*").alias("total"))
+    counted = records.groupBy("reason").agg(F.count("*").alias("n")).join(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("total"), 6)).drop("total")
+    at = F.row_number().over(Window.partitionBy("reason").orderBy("id"))
+    return records.select("reason", "id", F.substring("question", 1, most).alias("question"), at.alias("at")).join(F.broadcast(counted), "reason")  # as many rows as reasons
+
+
+def timing_summary(timings: DataFrame) -> DataFrame:
+    """stage, n, avg, min, max of (stage, ms)."""
+    return timings.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("ms"), 4).alias("avg"), F.min("ms").alias("min"), F.max("ms").alias("max"))
+
+
+def dataset_counts(samples: DataFrame) -> DataFrame:
+    """One row: samples, distinct companies and documents, samples with pages and with evidence."""
+    filled = lambda c: F.count_if(F.coalesce(F.size(c), F.lit(0)) > 0)
+    return samples.agg(F.count("*").alias("n"), F.countDistinct(X.blank(F.col("company"))).alias("companies"), F.countDistinct(X.blank(F.col("doc_name"))).alias("documents"), filled("pages").alias("with_pages"), filled("evidence").alias("with_evidence"))
+
+
+def run_diff(base: DataFrame, new: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """query_id, label_change, direction, mrr_delta and mrr_degraded of records (query_id, answer_label, mrr) that are in both runs. A label that
+    stands earlier among RANKED_LABELS than before counts as degraded, any other change as improved: so published diffs have it."""
+    met = base.select("query_id", F.col("answer_label").alias("b"), F.col("mrr").alias("bm")).join(new.select("query_id", F.col("answer_label").alias("n"), F.col("mrr").alias("nm")), "query_id")
+    place = lambda c: F.array_position(F.lit(RANKED_LABELS), F.col(c))
+    changed = ~F.col("b").eqNullSafe(F.col("n"))
+    known = (place("b") > 0) & (place("n") > 0)
+    return met.select(
+        "query_id", F.when(changed, F.concat_ws(" -> ", X.blank(F.col("b")), X.blank(F.col("n")))).alias("label_change"),
+        F.when(changed & known, F.when(place("n") < place("b"), "degraded").otherwise("improved")).alias("direction"),
+        F.round(F.col("nm") - F.col("bm"), 4).alias("mrr_delta"), (F.col("nm") < F.col("bm") - tolerance).alias("mrr_degraded"),
+    )
+
+
 def diff(base: DataFrame, new: DataFrame) -> DataFrame:
     """query_id, delta and change of doc_mrr between two runs."""
     met = base.select("query_id", F.col("doc_mrr").alias("b")).join(new.select("query_id", F.col("doc_mrr").alias("n")), "query_id")
