@@ -63,8 +63,12 @@ def terms(query: Column) -> Column:
 
 def cjk_ngrams(text: Column) -> Column:
     """2-, 3- and 4-grams of a CJK run."""
-    grams = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (2, 3, 4)]
-    return F.concat(*grams)
+
+    def of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, (2, 3, 4)))
 
 
 def intent(query: Column) -> Column:

@@ -59,3 +59,9 @@ def linear_rows(parsed: Column) -> Column:
     names = headers(parsed)
     body = F.slice(parsed, F.when(F.size(names) > 0, 2).otherwise(1), F.size(parsed))
     return F.transform(body, lambda r: linear(r, names))
+
+
+def numeric_density(parsed: Column) -> Column:
+    """The share of cells that hold a digit; 0 without cells."""
+    cells = F.flatten(parsed)
+    return F.when(F.size(cells) > 0, F.size(F.filter(cells, lambda c: c.rlike(r"\d"))) / F.when(F.size(cells) > 0, F.size(cells))).otherwise(0.0)

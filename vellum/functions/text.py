@@ -151,5 +151,150 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
-def contextual_header(*parts: Column) -> Column:
-    return F.concat_ws(" | ", *(F.nullif(strip(p), F.lit("")) for p in parts))
+def contextual_header(title: Column, page: Column, section_path: Column, section_title: Column, kind: Column | None = None) -> Column:
+    """"title | Page n | Section: path > title | Type: kind", without the parts that are blank or null."""
+    filled = lambda c: F.when(blank(c) != "", c)
+    section = F.concat_ws(" > ", filled(section_path), filled(section_title))
+    parts = [filled(title), F.concat(F.lit("Page "), page.cast("string")), F.when(section != "", F.concat(F.lit("Section: "), section))]
+    if kind is not None:
+        parts.append(F.concat(F.lit("Type: "), filled(kind)))
+    return F.concat_ws(" | ", *parts)
+
+
+def contextual_text(header: Column, search_text: Column, chunk_text: Column) -> Column:
+    """A header over the search text, or over the chunk where there is none."""
+    return F.concat_ws("\n", header, F.coalesce(F.when(search_text != "", search_text), blank(chunk_text)))
+
+
+def collapse(c: Column) -> Column:
+    """Every run of white space as one blank."""
+    return strip(F.regexp_replace(blank(c), r"\s+", " "))
+
+
+def normalize_block(c: Column) -> Column:
+    return strip(F.regexp_replace(normalize_ingested(c), r"\n{2,}", "\n"))
+
+
+# fixed values: names that parsers give to blocks, and the type each stands for
+BLOCK_TYPES = {
+    "heading": ["title", "heading", "subtitle", "toc"],
+    "paragraph": ["narrativetext", "paragraph", "text", "p"],
+    "list_item": ["listitem", "list_item", "listitemex", "bullet", "numbered"],
+    "table": ["table", "table_cell", "tabledata", "table_row"],
+    "quote": ["quote", "blockquote", "citation"],
+    "code": ["code", "codeblock", "sourcecode"],
+    "caption": ["caption", "image_caption", "table_caption", "figure"],
+    "header": ["header", "page_header", "page_number"],
+    "footer": ["footer", "page_footer"],
+    "unknown": ["metadata", "unknown", "embedded"],
+}
+
+
+def block_type(c: Column) -> Column:
+    name = F.lower(strip(blank(c)))
+    return reduce(lambda out, kind: F.when(name.isin(*BLOCK_TYPES[kind]), kind).otherwise(out), BLOCK_TYPES, F.lit("paragraph"))
+
+
+def section_path(c: Column) -> Column:
+    """Parts of a path given as a JSON list, as "A > B" or as "A/B"; blank parts are left out."""
+    text = strip(blank(c))
+    listed = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+    split = F.when(F.contains(text, F.lit(">")), F.split(text, ">")).when(F.contains(text, F.lit("/")), F.split(text, "/")).otherwise(F.array(text))
+    return F.filter(F.transform(F.coalesce(listed, split), normalize_whitespace), lambda p: p != "")
+
+
+def section_title(path: Column) -> Column:
+    """The last part of a path (an array), "" for none."""
+    return F.coalesce(F.get(path, F.size(path) - 1), F.lit(""))
+
+
+def to_int(c: Column, default: int | None = None) -> Column:
+    """Whole numbers as they are, others truncated, all else ``default``."""
+    return F.coalesce(c.try_cast("long"), c.try_cast("double").try_cast("long"), F.lit(default).cast("long"))
+
+
+def to_float(c: Column, default: float = 0.0) -> Column:
+    return F.coalesce(c.try_cast("double"), F.lit(default))
+
+
+def embedding_of(c: Column) -> Column:
+    """The numbers of a vector written as a JSON list; what is no number is left out."""
+    return F.filter(F.transform(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+
+
+def guessed_heading(c: Column) -> Column:
+    """The level of a line that looks like a heading, else null: items and parts 2, numbered lines 3, lines in capitals 2."""
+    s = strip(blank(c))
+    letters, capitals = F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\p{Lu}"))
+    level = F.when(s.rlike(r"(?i)^(item|section|part)\s+[A-Z0-9IVX.\-]+"), 2).when(s.rlike(r"^\d+(\.\d+){0,3}\s+\S+"), 3).when((letters > 0) & (capitals > letters * 0.8) & (F.length(s) < 100), 2)
+    return F.when((s != "") & (F.length(s) <= 120), level)
+
+
+# fixed values: what names a company, a filing and a fiscal year
+COMPANY = r"(?i)(?:公司|Company|Corporation|Corp|Inc|Ltd)\s*[:：]?\s*([A-Za-z0-9\x{4e00}-\x{9fff}（）()]+?)(?:[,，]|公司|\n?\z)"
+FILING = r"(?i)((?:年报|半年报|季报|10-K|10-Q|8-K|Form\s*([A-Za-z0-9-]+)))"
+FISCAL = r"(?i)(?:财年|Fiscal\s*Year|FY)\s*[:：]?\s*(20\d{2})"
+
+
+def finance_metadata(title: Column, content: Column) -> Column:
+    """Struct of company, filing_type and fiscal_year as a title and the start of a content name them, null where they do not."""
+    start = lambda n: F.concat_ws(" ", blank(title), F.substring(blank(content), 1, n))
+    found = lambda text, p: F.nullif(normalize_whitespace(F.regexp_extract(text, p, 1)), F.lit(""))
+    return F.struct(found(start(500), COMPANY).alias("company"), found(start(1000), FILING).alias("filing_type"), found(F.substring(blank(content), 1, 2000), FISCAL).alias("fiscal_year"))
+
+
+def search_text(title: Column, company: Column, filing: Column, path: Column, headings: Column, start: Column, end: Column, kind: Column, body: Column, caption: Column | None = None, units: Column | None = None, years: Column | None = None) -> Column:
+    """What is embedded of a chunk: a line for each thing known about it, then its text. ``path``, ``headings`` and ``years`` are arrays;
+    the last three count for tables only."""
+    line = lambda name, c: F.when(normalize_whitespace(c) != "", F.concat(F.lit(f"[{name}] "), normalize_whitespace(c)))
+    own = F.array_distinct(F.filter(F.transform(headings, normalize_whitespace), lambda h: h != ""))
+    last = F.slice(own, F.greatest(F.lit(1), F.size(own) - 2), F.lit(3))
+    pages = F.when(start.isNotNull(), F.when(F.coalesce(end, start) != start, F.concat(F.lit("[Pages] "), start.cast("string"), F.lit("-"), end.cast("string"))).otherwise(F.concat(F.lit("[Page] "), start.cast("string"))))
+    parts = [line("Document", title), line("Company", company), line("Filing", filing), line("Section", section_title(path)), F.when(F.size(own) > 0, F.concat(F.lit("[SectionPath] "), F.array_join(last, " / "))), pages, F.concat(F.lit("[ChunkType] "), kind)]
+    for name, c in (("TableCaption", caption), ("Units", units), ("YearColumns", None if years is None else F.array_join(years, ", "))):
+        if c is not None:
+            parts.append(F.when(kind.isin("table", "table_linearized"), line(name, c)))
+    return strip(F.concat_ws("\n", *parts, F.nullif(normalize_whitespace(body), F.lit(""))))
+
+
+def query_terms(question: Column, rewritten: Column, more: Column) -> Column:
+    """Distinct terms of a question, its rewriting and an array of others, longest first."""
+    found = lambda c: F.regexp_extract_all(normalize_whitespace(c), F.lit(r"[\x{4e00}-\x{9fff}]{2,}|[A-Za-z][A-Za-z0-9_./:-]{1,}"), F.lit(0))
+    every = F.array_distinct(F.concat(found(question), found(rewritten), F.coalesce(more, F.array().cast("array<string>"))))
+    return F.transform(F.array_sort(F.transform(every, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+
+
+def coverage(evidence: Column, text: Column) -> Column:
+    """The share of the evidence's words that a text has."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(blank(c)), r"\s+"), lambda t: t != ""))
+    own = split(evidence)
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, split(text))) / F.when(F.size(own) > 0, F.size(own))).otherwise(0.0)
+
+
+def key_sentences(c: Column, most: int = 3) -> Column:
+    parts = F.transform(F.split(blank(c), r"(?<=[。！？.!?])\s+"), strip)
+    return F.slice(F.filter(parts, lambda p: p != ""), 1, most)
+
+
+def cache_key(c: Column) -> Column:
+    return F.substring(F.sha2(blank(c), 256), 1, 16)
+
+
+def difficulty(question: Column, answer: Column) -> Column:
+    short = (F.length(blank(answer)) < 50) & blank(answer).rlike("[0-9]")
+    return F.when(~short & ((F.length(blank(question)) > 150) | (F.length(blank(answer)) > 300)), "medium").otherwise("easy")
+
+
+# fixed values: the note over a table of two years
+TWO_YEARS = (
+    "[NOTE: Financial table with two fiscal year columns. When data appears as:\n  Label\n  $value1\n  $value2\n"
+    "value1 = most recent fiscal year, value2 = prior fiscal year. Use the FIRST value (most recent year) for current-year analysis.]\n\n"
+)
+
+
+def clean_table(c: Column) -> Column:
+    """Without the names of first columns; a table of four numeric lines or more gets the note on its years."""
+    text = normalize_whitespace(c)
+    bare = F.regexp_replace(text, "(?m)^col_0=", "")
+    numeric = F.size(F.filter(F.split(bare, "\n", -1), lambda r: strip(r).rlike(r"^\$?[\d,]+\.?\d*\z")))
+    return F.when(text.rlike("(?m)^col_0=") & (numeric >= 4), F.concat(F.lit(TWO_YEARS), bare)).otherwise(bare)

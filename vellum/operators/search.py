@@ -253,6 +253,14 @@ def whole_words(terms: Column, low: Column) -> Column:
     return F.concat(plain, F.filter(F.filter(terms, lambda t: ~t.rlike("^[a-z0-9_]+$")), lambda t: whole_word(t, low)))
 
 
+def term_occurrences(pairs: DataFrame) -> DataFrame:
+    """chunk_id, term, exact, inside, whole, prefix of (chunk_id, chunk_text, term): occurrences as written and in any case, and whether the
+    term stands as a whole word and at the beginning of one."""
+    low, term = F.lower("chunk_text"), F.col("term")
+    held = lambda text: ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
+    return pairs.select("chunk_id", "term", held(F.col("chunk_text")).alias("exact"), held(low).alias("inside"), whole_word(term, low).alias("whole"), prefix_hit(term, low).alias("prefix"))
+
+
 def keyword_components(pairs: DataFrame) -> DataFrame:
     """Adds keyword_score, title_score, section_score and coverage_score, of the query's terms, to pairs (query, chunk_text, title, section);
     queries without terms go. A projection: nothing is shuffled.

@@ -54,7 +54,13 @@ READERS: dict[str, Callable[[bytes], str]] = {"text": decode, "docx": docx}
 
 
 def read_folder(spark: SparkSession, folder: str, extra: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, file_type, text, error, content_hash of every file below ``folder``; ``extra`` adds readers by file type."""
+    """path, file_type, text, error, content_hash of every file below ``folder``, to be ordered by path where order counts; ``extra`` adds readers by file type."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return read_bytes(files.select("path", "content"), extra)
+
+
+def read_bytes(files: DataFrame, extra: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """path, file_type, text, error, content_hash of files (path, content)."""
     readers = {**READERS, **(extra or {})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +79,5 @@ def read_folder(spark: SparkSession, folder: str, extra: dict[str, Callable[[byt
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "file_type", "text", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     typed = files.select("path", X.file_type(F.col("path")).alias("file_type"), "content")
     return typed.mapInArrow(run, "path string, file_type string, text string, error string").withColumn("content_hash", F.md5("text"))
