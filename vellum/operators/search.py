@@ -236,6 +236,20 @@ def merge(parts: list[DataFrame], fields: list[str]) -> DataFrame:
     return whole.groupBy("query_id", "chunk_id").agg(*(F.max(F.coalesce(F.col(f), F.lit(0.0))).alias(f) for f in fields))
 
 
+def merge_hits(parts: list[DataFrame], fields: list[str], first: list[str]) -> DataFrame:
+    """Recalls (query_id, chunk_id, term_hits: map of counts, the score ``fields``, the columns ``first``) as one: the maximum of each score,
+    counts of terms added up, and other columns of the earliest recall that has the chunk."""
+    whole = None
+    for number, part in enumerate(parts):
+        tagged = part.withColumn("_part", F.lit(number))
+        whole = tagged if whole is None else whole.unionByName(tagged, allowMissingColumns=True)
+    key = ["query_id", "chunk_id"]
+    counted = whole.select(*key, F.explode("term_hits").alias("term", "n")).groupBy(*key, "term").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "n")))).alias("term_hits"))
+    merged = whole.groupBy(*key).agg(*(F.max(F.coalesce(F.col(f), F.lit(0.0))).alias(f) for f in fields), F.min_by(F.struct(*first), "_part").alias("_first"))
+    return merged.join(counted, key, "left").select(*key, *fields, "_first.*", F.coalesce("term_hits", F.create_map().cast("map<string,bigint>")).alias("term_hits"))
+
+
 def whole_word(term: Column, low: Column) -> Column:
     bare = F.replace(term, F.lit("."), F.lit("[.]"))
     pattern = F.concat(F.lit("(^|[^a-z0-9_])"), bare, F.lit("([^a-z0-9_]|$)"))
