@@ -298,3 +298,9 @@ def clean_table(c: Column) -> Column:
     bare = F.regexp_replace(text, "(?m)^col_0=", "")
     numeric = F.size(F.filter(F.split(bare, "\n", -1), lambda r: strip(r).rlike(r"^\$?[\d,]+\.?\d*\z")))
     return F.when(text.rlike("(?m)^col_0=") & (numeric >= 4), F.concat(F.lit(TWO_YEARS), bare)).otherwise(bare)
+
+
+def html_text(c: Column) -> Column:
+    """A page without scripts, styles and tags, every run of white space one blank."""
+    bare = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</(script|style)>", " ")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " ")

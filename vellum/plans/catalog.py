@@ -14,7 +14,7 @@ from vellum.functions import text as X
 from vellum.operators import evaluation, indexing, ranking, search, store
 from vellum.operators.index import Index
 from vellum.operators.index import stored as build_index
-from vellum.sources import blocks, chunking, scratch
+from vellum.sources import blocks, chunking, quality, scratch
 from vellum.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,8 +144,7 @@ def noise_flags(spark, sf_dir):
 
 @query(f"WITH {LINES}, s AS (SELECT doc_id, lower({STRIP.format('line')}) AS key FROM blocks) SELECT doc_id, key, count(*) AS n FROM s WHERE length(key) BETWEEN 4 AND 79 GROUP BY ALL HAVING count(*) >= 3")
 def repeated_lines(spark, sf_dir):
-    keyed = chunking.line_blocks(table(spark, sf_dir, "documents")).select("doc_id", F.lower(X.strip(F.col("line"))).alias("key"))
-    return keyed.filter(F.length("key").between(4, 79)).groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n >= 3")
+    return quality.repeated_lines(chunking.line_blocks(table(spark, sf_dir, "documents")), "line")
 
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, line, {STRIP.format('line')} AS s FROM blocks),
@@ -154,14 +153,9 @@ def repeated_lines(spark, sf_dir):
     SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15::DOUBLE * least(chars / 5000, 1.0) + 0.15::DOUBLE * least(filled / 50, 1.0) + 0.10::DOUBLE * least(chars / n / 150, 1.0)
         - 0.10::DOUBLE * (short / n) - 0.15::DOUBLE * coalesce(again / kinds, 0) - 0.15::DOUBLE * (noise / n) + 0.05::DOUBLE)), 6) AS quality FROM per LEFT JOIN rep USING (doc_id)""")
 def doc_quality_score(spark, sf_dir):
-    blocks = chunking.line_blocks(table(spark, sf_dir, "documents")).withColumn("s", X.strip(F.col("line")))
-    per_line = blocks.groupBy("doc_id", F.lower("s").alias("k")).agg(F.count("*").alias("c"), F.sum(F.length("line")).alias("chars"), F.count_if(F.length("s").between(1, 2)).alias("short"), F.count_if(X.is_noise(F.col("line"))).alias("noise"))
-    filled = F.col("k") != ""
-    per = per_line.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum("c").alias("n"), F.sum("short").alias("short"), F.sum("noise").alias("noise"), F.sum(F.when(filled, F.col("c")).otherwise(0)).alias("filled"), F.count_if(filled & (F.col("c") >= 3)).alias("again"), F.count_if(filled).alias("kinds"))
-    most = lambda c: F.least(c, F.lit(1.0))
-    again = F.when(F.col("kinds") > 0, F.col("again") / F.when(F.col("kinds") > 0, F.col("kinds"))).otherwise(0.0)
-    score = 0.15 * most(F.col("chars") / 5000) + 0.15 * most(F.col("filled") / 50) + 0.10 * most(F.col("chars") / F.col("n") / 150) - 0.10 * (F.col("short") / F.col("n")) - 0.15 * again - 0.15 * (F.col("noise") / F.col("n")) + 0.05
-    return per.select("doc_id", F.round(F.greatest(F.lit(0.0), most(score)), 6).alias("quality"))
+    """Every line of a document as a block of its one page."""
+    lines = chunking.line_blocks(table(spark, sf_dir, "documents")).select("doc_id", F.col("line").alias("text"), F.lit("paragraph").alias("kind"), F.lit(1).alias("page"))
+    return quality.block_scores(lines).select("doc_id", "quality")
 
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, {STRIP.format('line')} AS s FROM blocks), l AS (SELECT doc_id, CASE WHEN s = '' THEN 1 WHEN regexp_matches(s, '^#{{1,6}}\\s+') THEN least(6, length(string_split(s, ' ')[1]))

@@ -208,6 +208,92 @@ def exploded(parsed: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: headings and list items of content that was stored as one text
+STORED_HEADING = re.compile(r"第[一二三四五六七八九十百千万0-9]+[章节部分节]|[一二三四五六七八九十]+[、.．]|[0-9]+[.、]")
+STORED_ITEM = re.compile(r"[-*•]\s+|[0-9]+[.)、]\s+")
+JOINTS = ("：", ":", "；", ";", "，", ",")
+
+
+def stored_blocks(content: str | None) -> list[Block]:
+    """Blocks of a stored content without block records: Markdown and Chinese headings, list items, paragraphs between empty lines."""
+    out: list[Block] = []
+    path: list[str] = []
+    held: list[str] = []
+
+    def close() -> None:
+        text = "\n".join(held).strip()
+        if text:
+            out.append(Block("paragraph", text, None, " > ".join(path) or None))
+        held.clear()
+
+    for line in (raw.strip() for raw in (content or "").strip().splitlines()):
+        marks = re.match(r"#{1,6}\s+", line)
+        if marks or STORED_HEADING.match(line):
+            close()
+            title = line[marks.end() :].strip() if marks else line
+            level = min(6, len(marks[0].strip())) if marks else stored_level(line)
+            if title:
+                path = [*path[: max(0, level - 1)], title]
+                out.append(Block("heading", title, level, " > ".join(path)))
+        elif not line or STORED_ITEM.match(line):
+            close()
+            if line:
+                out.append(Block("list_item", line, None, " > ".join(path) or None))
+        else:
+            held.append(line)
+    close()
+    return out
+
+
+def stored_level(line: str) -> int:
+    """The level of a heading that is no Markdown, as :func:`vellum.functions.text.heading_level` has it."""
+    if line.startswith("第"):
+        return 1 if re.match(r"第[一二三四五六七八九十百千万0-9]+章", line) else 2 if re.match(r"第[一二三四五六七八九十百千万0-9]+节", line) else 1
+    if re.match(r"[一二三四五六七八九十]+[、.．]", line):
+        return 2
+    return min(4, max(2, line.split(" ")[0].count(".") + 2))
+
+
+def merge_short(blocks: list[Block], least: int = 80) -> list[Block]:
+    """Adjacent paragraphs and list items of a section joined: two items, a short first, a much shorter second, or a first that ends in a joint."""
+    out: list[Block] = []
+    for block in blocks:
+        last = out[-1] if out else None
+        pair = last and last.section == block.section and {last.kind, block.kind} <= {"paragraph", "list_item"}
+        short = pair and (last.kind == block.kind == "list_item" or len(last.text) < least or len(block.text) < max(20, least // 2) or last.text.endswith(JOINTS))
+        if not block.text:
+            continue
+        if short:
+            out[-1] = last._replace(text=f"{last.text}\n{block.text}")
+        else:
+            out.append(block)
+    return out
+
+
+def from_stored(docs: DataFrame, merged: bool = False) -> DataFrame:
+    """doc_id, blocks of documents (doc_id, text) by :func:`stored_blocks`, short ones joined if ``merged``."""
+    f = (lambda v: merge_short(stored_blocks(v))) if merged else stored_blocks
+    return docs.select("doc_id", "text").mapInArrow(_arrays(f), SCHEMA)
+
+
+def with_pages(parsed: DataFrame) -> DataFrame:
+    """page_start and page_end of blocks (page_start, page_end, page, metadata: map): a missing start is the page, or that of the metadata; a
+    missing end the start, or the metadata's end."""
+    at = lambda key: X.to_int(F.col("metadata")[key])
+    start = F.coalesce("page_start", "page")
+    end = F.coalesce("page_end", start)
+    return parsed.withColumns({"page_start": F.coalesce(start, at("page")), "page_end": F.coalesce(end, at("page_end"), start, at("page"))})
+
+
+def grouped_content(parsed: DataFrame) -> DataFrame:
+    """doc_id, content: texts by section, an empty line between two; a heading begins a group of its own."""
+    joined = F.aggregate("blocks", F.struct(F.lit("").alias("t"), F.lit(None).cast("string").alias("s"), F.lit(True).alias("first")), lambda acc, b: F.struct(
+        F.concat(acc["t"], F.when(acc["first"], "").when((b["kind"] == "heading") | ~b["section"].eqNullSafe(acc["s"]), "\n\n").otherwise("\n"), X.strip(b["text"])).alias("t"),
+        b["section"].alias("s"), F.lit(False).alias("first"),
+    ), lambda acc: X.strip(acc["t"]))
+    return parsed.select("doc_id", joined.alias("content"))
+
+
 def content(parsed: DataFrame) -> DataFrame:
     """doc_id, content: texts of all blocks but headings, a line each."""
     body = F.filter("blocks", lambda b: b["kind"] != "heading")

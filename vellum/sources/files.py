@@ -1,7 +1,7 @@
 """Folders of text, Markdown and Word files as documents. Files are read by Spark's binary reader and decoded in Arrow batches.
 
-A file that cannot be read gives a row with ``error`` and null text, so one bad file never ends a job. PDF files need a library
-that is not part of this package: pass ``extra`` to read them, else their error says so."""
+A file that cannot be read gives a row with ``error`` and null text, so one bad file never ends a job. PDF files are read by
+:mod:`vellum.sources.pdf`, which knows simple ones; pass ``extra`` to read them with a library."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
+from vellum.sources import blocks, pdf, quality
 
 # fixed values: encodings in the order they are tried, and the namespace of Word files
 ENCODINGS = ["utf-8-sig", "gbk", "gb18030", "latin-1"]
@@ -50,7 +51,7 @@ def docx(data: bytes) -> str:
     return "\n\n".join(out)
 
 
-READERS: dict[str, Callable[[bytes], str]] = {"text": decode, "docx": docx}
+READERS: dict[str, Callable[[bytes], str]] = {"text": decode, "docx": docx, "pdf": pdf.read}
 
 
 def read_folder(spark: SparkSession, folder: str, extra: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -81,3 +82,13 @@ def read_bytes(files: DataFrame, extra: dict[str, Callable[[bytes], str]] | None
 
     typed = files.select("path", X.file_type(F.col("path")).alias("file_type"), "content")
     return typed.mapInArrow(run, "path string, file_type string, text string, error string").withColumn("content_hash", F.md5("text"))
+
+
+def parsed_folder(spark: SparkSession, folder: str, extra: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """path, file_type, doc_id (the hash of the path), error, content, blocks, quality of every file below ``folder``: read, cut into blocks, cleaned
+    and scored. Failed files keep their error and have no blocks."""
+    read = read_folder(spark, folder, extra).withColumn("doc_id", F.xxhash64("path"))
+    clean = blocks.clean(blocks.typed_blocks(read.select("doc_id", "text")))
+    content = blocks.content(clean)
+    scores = quality.text_scores(blocks.exploded(clean), content).select("doc_id", "quality")
+    return read.select("path", "file_type", "doc_id", "error").join(clean, "doc_id").join(content, "doc_id").join(scores, "doc_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -20,3 +21,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     """user_id, session_start, n: runs of a user's events less than ``gap`` apart."""
     grouped = timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+def indexed(chunks: DataFrame, checkpoint: str, take) -> StreamingQuery:
+    """Runs ``take(batch, number)`` on every micro-batch of a stream of chunks, each chunk hash once a batch: incremental indexing of a stream."""
+    once = lambda batch, number: take(batch.dropDuplicates(["doc_id", "chunk_hash"]), number)
+    return chunks.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
