@@ -9,7 +9,7 @@ from vellum.functions import query as Q
 from vellum.functions import signals as S
 from vellum.operators import ranking, retrieve, search
 from vellum.plans.catalog import (
-    FUSED, INTENT_SQL, KEYWORDS, KW, ORACLES, SCORED, STRIP, candidates, hits_sql, index, mixed_sql, query, questions, quote, recalled, signal_sql, terms_sql, tidy_sql,
+    FUSED, INTENT_SQL, KEYWORDS, KW, ORACLES, RECALL, SCORED, STRIP, WHOLE_RECALL, candidates, hits_sql, index, mixed_sql, query, questions, quote, recalled, signal_sql, terms_sql, tidy_sql,
 )
 from vellum.sources.scratch import keep
 
@@ -258,3 +258,5 @@ ORACLES["query_rewrite"] = rewrite_sql()
 ORACLES["greedy_dedup"] = f"WITH RECURSIVE {FUSED}, {dedup_sql('fused', 'd')} SELECT * FROM d"
 ORACLES["section_group"] = f"WITH RECURSIVE {FUSED}, {sections_sql('fused', 'sec')} SELECT * EXCLUDE (combined_text) FROM sec"
 ORACLES["section_scores"] = f"WITH RECURSIVE {FUSED}, {sections_sql('fused', 'sec')}, asks AS (SELECT DISTINCT query_id, query FROM cand), {section_lexical_sql('sec', 'asks', 'lexi')} SELECT * FROM lexi"
+for _name in ("section_group", "section_scores"):
+    ORACLES[f"{_name}_whole"] = ORACLES[_name].replace(RECALL, WHOLE_RECALL)
