@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import ann, chat, exact, jaccard, langid, lm, mixing, pieces, quality, shard
+from vellum.llm._shared import keep
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -55,8 +56,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    sized = keep(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "mix-sizes")
+    return mixing.mix_plan(sized, sized=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

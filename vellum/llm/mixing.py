@@ -6,8 +6,10 @@ added per source, and a document is emitted once for each integer that its step
 goes by size, the words that a source gives miss its target by little more than one document.
 
 The prefix sum is a rank times a constant. Ranks are found without bringing a source into one task:
-documents fall into cells (source, size class, hash digit), cells are counted before the shuffle, a running
-sum over the few cells of a source gives each cell its first rank, and rows are numbered within cells.
+documents fall into cells (source, size class, two hash digits), cells are counted before the shuffle and
+written, a running sum over the few cells of a source gives each cell its first rank, and rows are numbered
+within cells. Words are counted once for the cells and once for the rows; a ``size`` that is given is not counted
+at all. There is a row a source in :func:`targets`: sources are named collections, thousands, not hosts.
 
 Edge cases: null text has size 0 and is never taken; null source is a source, the last; a source of size
 0 has target 0; repeated rows count each; an empty table gives no rows. Extra columns are kept by
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import WORD_PATTERN
+from vellum.llm._shared import WORD_PATTERN, keep
 
 MOST = 3  # times a source's or a document's own size
 
@@ -46,10 +48,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken (words)."""
-    docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    docs = docs.withColumn("size", word_count(F.col("text")))
+def mix_plan(docs: DataFrame, seed: str = "mix", sized: bool = False) -> DataFrame:
+    """``docs`` with size, source_size, target, copies and taken (words). With ``sized`` they hold their size in place of a text."""
+    docs = docs.drop("source_size", "target", "copies", "taken")
+    docs = docs if sized else docs.withColumn("size", word_count(F.col("text")))
     # named structs, as joins on plain null sources would lose them
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     bits = "length(bin(size))"
@@ -58,9 +60,9 @@ def mix_plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
         key.alias("_source"),
         F.expr(f"{bits} * 16 + shiftright(size, greatest({bits} - 4, 0))").alias("_class"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"),
-    ).withColumn("_digit", F.substring("_order", 1, 1))
+    ).withColumn("_digit", F.substring("_order", 1, 2))
     cell = ["_source", "_class", "_digit"]
-    cells = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cells = keep(placed.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     along = Window.partitionBy("_source").orderBy("_class", "_digit").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("_before"), F.sum("words").over(Window.partitionBy("_source")).alias("source_size"))
     sources = cells.groupBy("_source").agg(F.max("source_size").alias("source_size"))
