@@ -12,9 +12,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())  # one row
 
 
+#: Tasks over which the links of one node are dealt before Spark splits what is large.
+SPREAD = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the m of their u: a hub's edges are dealt by their other end, and its one row goes to each part."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+    return dealt.join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, root for every node of the undirected edges (u, v), roots being the least node of each component.
 
+    It takes about as many rounds as the logarithm of the largest component; after ``rounds`` without a fixed point it raises.
     Each round is written to the scratch folder. Nodes with many links only meet aggregates, which are
     combined before the shuffle, and joins, whose large partitions Spark splits. Loops (u = v) and repeated
     edges may occur; a null end drops the edge; no edges give no rows."""
@@ -24,9 +35,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         before, state = state, _state(edges)
         if state == before:

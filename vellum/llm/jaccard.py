@@ -3,11 +3,14 @@
 1. Every text becomes a class (the hash of its words; equal word sequences are copies), MinHash values over
    its word n-grams, and a hash for each band. Bands and rows are chosen so that a pair at the threshold is
    missed with probability ``1 - recall`` at most.
-2. Band hashes are shuffled; a bucket that holds several classes links them to its least one. Components
-   of these links are the only places where similar pairs can be.
-3. One text of each class of a component goes to that component's task, where pairs that share a band are
-   compared on their full n-gram sets. Components with many n-grams are cut into blocks, and pairs of
-   blocks are compared, so no task holds more than a bounded number of n-grams or one pair of texts.
+2. Band hashes of distinct classes are shuffled; a bucket that holds several classes links them to its least
+   one. Components of these links are the only places where similar pairs can be.
+3. Small components share tasks; one text of each of their classes goes there once. A component of more than
+   ``BLOCK_GRAMS`` n-grams or ``BLOCK_ROWS`` classes goes, whichever sends fewer rows, in pairs of blocks of that
+   size, or bucket by bucket (equal buckets once, large ones in pairs of blocks), so that a long chain of texts
+   is never sent more than once a band. No task's key is a component or bucket above that bound.
+4. A task sorts its classes by band and compares those that share one on their full n-gram sets, in the
+   first band that they share, so that no pair counts twice, in whatever task it is met.
 
 A pair never becomes a row, unless asked for: tasks return a class's number of links and its group.
 
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._shared import keep, mix, slices, text_bytes, words
 from vellum.llm.components import components
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
-CHUNK, BLOCK_GRAMS, GROUP_GRAMS = 2 << 20, 2_000_000, 500_000
+CHUNK, BLOCK_GRAMS, BLOCK_ROWS, GROUP_GRAMS, PAIRS = 2 << 20, 500_000, 1024, 250_000, 200_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(977).integers(1, 1 << 63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -108,7 +111,7 @@ def _sketch(n: int, bands: int, rows: int):
 
 
 def _sets(n: int):
-    """cls, size, group, a, b, part, text -> the sorted n-gram set in place of the text."""
+    """cls, size, band, group, a, b, part, text -> the sorted n-gram set in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +129,50 @@ def _sets(n: int):
     return run
 
 
+def _met(keys: np.ndarray, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share a band, each in the first band that it shares, at most ``PAIRS`` at once unless one row has more.
+    Rows sent for one band (``band`` >= 0) meet only there."""
+    for b in range(keys.shape[1]):
+        some = np.flatnonzero((band < 0) | (band == b))
+        order = some[np.argsort(keys[some, b], kind="stable")]
+        own = keys[order, b]
+        ends = np.searchsorted(own, own, side="right")
+        others = ends - np.arange(len(order)) - 1
+        total = np.concatenate([[0], np.cumsum(others)])
+        at = 0
+        while at < len(order) and total[-1] > total[at]:
+            stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+            count = others[at:stop]
+            left = np.repeat(np.arange(at, stop), count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(total[at:stop] - total[at], count)
+            left, right = order[left], order[right]
+            fresh = np.ones(len(left), bool)
+            for earlier in range(b):
+                fresh &= keys[left, earlier] != keys[right, earlier]
+            if fresh.any():
+                yield left[fresh], right[fresh]
+            at = stop
+
+
+def _roots(parent: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The roots of some rows; the rows then point to them."""
+    found = parent[rows]
+    while True:
+        above = parent[found]
+        if (above == found).all():
+            parent[rows] = found
+            return found
+        found = above
+
+
 def _verify(threshold: float, bands: int, rows: int, as_pairs: bool):
-    """A group's classes -> links and least class of the linked ones (within the group), or the similar pairs."""
+    """A group's classes -> links and least class of the linked ones (within the group) of those that have any, or the similar pairs."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        cls, size, part = (table[c].to_numpy() for c in ("cls", "size", "part"))
-        order = np.argsort(cls, kind="stable")
-        order = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]  # rows repeat with their row keys
-        cls, size, part = cls[order], size[order], part[order]
+        cls, size, band, part = (table[c].to_numpy() for c in ("cls", "size", "band", "part"))
+        order = np.lexsort((cls, band))
+        order = order[np.concatenate([[True], (cls[order][1:] != cls[order][:-1]) | (band[order][1:] != band[order][:-1])])]  # rows repeat with their row keys
+        cls, size, band, part = cls[order], size[order], band[order], part[order]
         column = table["grams"].combine_chunks()
         _, where, data = column.buffers()
         where = np.frombuffer(where, np.int32, count=column.offset + len(column) + 1)[column.offset :].astype(np.int64) // 8
@@ -144,27 +183,18 @@ def _verify(threshold: float, bands: int, rows: int, as_pairs: bool):
         keys = band_hashes(g, ends[:-1], bands, rows)
         names, g = np.unique(g, return_inverse=True)
         parent = np.arange(len(cls))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
         across = key[1].as_py() != key[2].as_py()
         links, pairs, mark = np.zeros(len(cls), np.int64), [], np.zeros(len(names), bool)
-        for at in range(0, len(cls), 256):
-            some = keys[at : at + 256]
-            near = np.zeros((len(some), len(cls) - at), bool)
-            for b in range(bands):
-                near |= some[:, b : b + 1] == keys[None, at:, b]
-            for i in range(len(some)):
-                other = np.flatnonzero(near[i, i + 1 :]) + at + i + 1
-                if across:
-                    other = other[part[other] != part[at + i]]
-                if not len(other):
-                    continue
-                own, i = slice(ends[at + i], ends[at + i + 1]), at + i
+        for left, right in _met(keys, band):
+            if across:
+                apart = part[left] != part[right]
+                left, right = left[apart], right[apart]
+            if not len(left):
+                continue
+            heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+            for x, y in zip(heads, [*heads[1:], len(left)], strict=True):
+                i, other = left[x], right[x:y]
+                own = slice(ends[i], ends[i + 1])
                 mark[g[own]] = True
                 step = np.cumsum(length[other])
                 held = mark[g[np.repeat(ends[other] - step + length[other], length[other]) + np.arange(step[-1])]]
@@ -172,22 +202,29 @@ def _verify(threshold: float, bands: int, rows: int, as_pairs: bool):
                 shared = np.add.reduceat(held, step - length[other], dtype=np.int64)
                 alike = shared / (length[i] + length[other] - shared)
                 good = alike >= threshold
+                if not good.any():
+                    continue
                 other = other[good]
                 links[i] += size[other].sum()
                 links[other] += size[i]
-                for j in other.tolist():
-                    x, y = root(i), root(j)
-                    parent[max(x, y)] = min(x, y)
+                tops = np.unique(_roots(parent, np.append(other, i)))
+                parent[tops] = tops[0]
                 if as_pairs:
                     pairs.append((np.full(len(other), cls[i]), cls[other], alike[good]))
         if as_pairs:
             a, b, s = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             return pa.table({"a": a, "b": b, "similarity": s})
-        return pa.table({"cls": cls, "links": links, "root": cls[[root(i) for i in range(len(cls))]]})
+        some = np.flatnonzero(links)
+        return pa.table({"cls": cls[some], "links": links[some], "root": cls[_roots(parent, some)] if len(some) else cls[some]})
 
     return run
 
 
+def _parts() -> Column:
+    """Into how many blocks rows (rows, grams) are cut."""
+    return F.ceil(F.greatest(F.col("grams") / BLOCK_GRAMS, F.col("rows") / BLOCK_ROWS, F.lit(1.0))).cast("int")
+
+
 class Join:
     """The parts of a join over documents (doc_id, text): ``docs`` has doc_id, row_key and cls; ``classes`` cls,
     size, row_key, doc_id and words; ``groups`` the classes that have candidates, dealt into groups for :func:`_verify`."""
@@ -199,27 +236,42 @@ class Join:
         sketch = self.texts.mapInArrow(_sketch(n, self.bands, self.rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, cls long, words long, bands array<long>")
         self.docs = keep(sketch, "jaccard-sketch")
         told = self.docs.filter("cls IS NOT NULL")
-        self.classes = told.groupBy("cls").agg(F.count("*").alias("size"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
-        hashed = told.select("cls", F.explode("bands").alias("band"))
+        classes = told.groupBy("cls").agg(F.count("*").alias("size"), F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"), F.max("words").alias("words"), F.any_value("bands").alias("bands"))
+        classes = keep(classes, "jaccard-classes")
+        self.classes = classes.drop("bands")
+        hashed = classes.select("cls", F.explode("bands").alias("band"))
         buckets = hashed.groupBy("band").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first <> last")
         links = hashed.join(buckets, "band").select(F.col("cls").alias("u"), F.col("first").alias("v"))
         found = components(links)
-        self.found = keep(self.classes.join(found.select(F.col("node").alias("cls"), "root"), "cls"), "jaccard-found")
-        # large components are cut into parts; small ones share groups
-        whole = self.found.groupBy("root").agg(F.sum("words").alias("grams"))
-        self.cut = keep(whole.filter(F.col("grams") > BLOCK_GRAMS).select("root", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("parts")), "jaccard-cut")
+        self.found = keep(classes.join(found.select(F.col("node").alias("cls"), "root"), "cls").drop("doc_id"), "jaccard-found")
+        whole = self.found.groupBy("root").agg(F.sum("words").alias("grams"), F.count("*").alias("rows"))
+        large = keep(whole.filter((F.col("grams") > BLOCK_GRAMS) | (F.col("rows") > BLOCK_ROWS)).withColumn("parts", _parts()), "jaccard-large")
+        self.cut = large
         total = self.found.agg(F.sum("words")).first()[0] or 0
-        dealt = self.found.join(self.cut, "root", "left")
-        small = F.pmod(F.xxhash64("root"), F.lit(max(8, total // GROUP_GRAMS)))
-        part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))).cast("int")
-        dealt = dealt.select("cls", "size", "row_key", F.when(F.col("parts").isNull(), small).otherwise(F.col("root")).alias("group"), part.alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"))
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        self.groups = dealt.select("*", other.alias("other")).select("cls", "size", "row_key", "group", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
+        tasks = F.lit(max(8, total // GROUP_GRAMS))
+        one = lambda c: F.lit(0).alias(c)
+        base = ["cls", "size", "row_key"]
+        small = self.found.join(large.select("root"), "root", "left_anti").select(*base, F.lit(-1).alias("band"), F.pmod(F.xxhash64("root"), tasks).alias("group"), one("a"), one("b"), one("part"))
+        # large components: what blocks of the whole send, and what their buckets send
+        members = self.found.join(large.select("root", "parts"), "root").select(*base, "root", "words", "bands", "parts")
+        each = members.select(*base, "root", "words", "parts", F.posexplode("bands").alias("band", "name"))
+        stats = each.groupBy("root", "parts", "band", "name").agg(F.count("*").alias("rows"), F.sum("words").alias("grams"), F.bit_xor("cls").alias("sum"), F.bit_xor(F.xxhash64("cls")).alias("hash")).filter("rows > 1")
+        firsts = stats.groupBy("root", "parts", "rows", "grams", "sum", "hash").agg(F.min(F.struct("band", "name")).alias("first"))
+        firsts = keep(firsts.select("root", F.col("parts").alias("whole"), "rows", "first.*", _parts().alias("parts")), "jaccard-buckets")
+        sent = firsts.groupBy("root").agg(F.sum(F.col("rows") * F.col("parts")).alias("sent"))
+        by_bucket = keep(large.join(sent, "root").filter(F.col("sent") < F.col("rows") * F.col("parts")).select("root"), "jaccard-by-bucket")
+        blocks = members.join(by_bucket, "root", "left_anti").select(*base, F.lit(-1).alias("band"), F.col("root").alias("group"), "parts")
+        chosen = firsts.join(by_bucket, "root").select("root", "band", "name", "parts")
+        dealt = each.drop("parts").join(chosen, ["root", "band", "name"]).select(*base, "band", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("name"), tasks)).otherwise(F.col("name")).alias("group"), "parts")
+        cut = blocks.unionByName(dealt).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cut = cut.select(*base, "band", "group", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
+        self.groups = small.unionByName(cut)
 
     def _verified(self, as_pairs: bool, schema: str) -> DataFrame:
         # the same plan at every size: texts are dealt by row key to the few that are wanted
-        texts = self.texts.select("row_key", "text").join(self.groups.hint("shuffle_hash"), "row_key").select("cls", "size", "group", "a", "b", "part", "text")
-        sets = texts.mapInArrow(_sets(self.n), "cls long, size long, group long, a int, b int, part int, grams binary")
+        texts = self.texts.select("row_key", "text").join(self.groups.hint("shuffle_hash"), "row_key").select("cls", "size", "band", "group", "a", "b", "part", "text")
+        sets = texts.mapInArrow(_sets(self.n), "cls long, size long, band int, group long, a int, b int, part int, grams binary")
         return sets.groupBy("group", "a", "b").applyInArrow(_verify(self.threshold, self.bands, self.rows, as_pairs), schema)
 
     def pairs(self) -> DataFrame:
