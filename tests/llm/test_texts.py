@@ -246,12 +246,12 @@ def test_language_nothing_learned(spark):
 # --- language model
 
 
-def brute_lm(rows):
+def brute_lm(rows, held=None):
     def tokens(text):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         return [*WORD.findall(low), None]
 
-    texts = [(i, zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False, tokens(t)) for i, t, *_ in rows]
+    texts = [(i, i in held if held else zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False, tokens(t)) for i, t, *_ in rows]
     one, two, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
     before = collections.Counter()
     for _, out, words in texts:
@@ -289,6 +289,35 @@ def test_language_model(spark, monkeypatch, batch):
         assert abs(a[6] - b[6]) <= a[2] * step / 2 + 1e-9
 
 
+def test_stored_model_scores_by_its_trie(spark, monkeypatch):
+    """The stored tries score the documents they were made of as scoring at once does, other documents by definition, and otherwise once a byte of theirs changes."""
+    monkeypatch.setattr(lm, "SHARD", 200)
+    monkeypatch.setattr(lm, "BATCH", 60)
+    rows = documents(80)
+    df = frame(spark, rows).withColumn("held_out", langid.held_out(7, 2))
+    model = lm.train(df)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    tidy = lambda got: sorted(repr(tuple(round(x, 9) if isinstance(x, float) else x for x in r)) for r in got.select(*columns).collect())
+    assert tidy(model.score(df)) == tidy(lm.score(df))
+    new = [(9000, "alpha beta gamma unknownword the of", "en", "s", 1), (9001, None, "en", "s", 1)]
+    asked = spark.createDataFrame([(*r, True) for r in new], "doc_id long, text string, lang string, source string, n_chars long, held_out boolean")
+    want = {r[0]: r for r in brute_lm([r for r in rows if not (r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2)] + new, held={9000, 9001})}
+    step = (math.log10(model.total + 10) + 0.7) / 254
+    for r in model.score(asked).collect():
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == w[2:5] and math.isclose(r["base_score"], w[5], rel_tol=1e-9)
+        assert abs(r["score"] - w[6]) <= r["n_tokens"] * step / 2 + 1e-9
+
+    def broken(data):
+        size = int(np.frombuffer(bytes(data), np.int64, 1)[0])
+        trie = eliasfano.Trie.frombytes(np.frombuffer(bytes(data[8 : 8 + size]), np.uint8))
+        trie.values[1] = 254 - trie.values[1]
+        return bytes(data[:8]) + trie.tobytes() + bytes(data[8 + size :])
+
+    model.shares = model.shares.select("shard", F.udf(broken, "binary")("answer").alias("answer"))
+    assert tidy(model.score(df)) != tidy(lm.score(df))
+
+
 def test_language_model_of_nothing(spark):
     assert lm.score(frame(spark, []).withColumn("held_out", F.lit(False))).collect() == []
     got = lm.score(frame(spark, [(1, "a b", "en", "s", 1)]).withColumn("held_out", F.lit(True))).collect()
@@ -484,9 +513,11 @@ def closure(links, nodes):
     return {x: find(x) for x in nodes}
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
-def test_jaccard_join(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "rows_", "pairs"), [(500_000, 1024, 200_000), (300, 1024, 50), (10**9, 2, 1), (100, 3, 7)])
+def test_jaccard_join(spark, monkeypatch, block, rows_, pairs):
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     rows = near_rows()
     sets = brute_sets(rows)
     links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x and y and len(x & y) / len(x | y) >= 0.8]
@@ -497,6 +528,22 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == {i: (group[i], count[i]) for i, _ in sets}
 
 
+@pytest.mark.parametrize("rows_", [1024, 4])
+def test_jaccard_chain(spark, monkeypatch, rows_):
+    """A chain of texts, each similar to the next ones only: one group, sent bucket by bucket where it is large."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows_)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60]), "en", "s", 1) for i in range(100)]
+    sets = brute_sets(rows)
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if len(x & y) / len(x | y) >= 0.8]
+    count = collections.Counter(x for pair in links for x in pair)
+    group = closure(links, [i for i, _ in sets])
+    join = jaccard.Join(frame(spark, rows))
+    if rows_ == 4:
+        assert join.groups.filter("band >= 0").count() and join.groups.count() <= 21 * 100 * 2
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in join.members().collect()} == {i: (group[i], count[i]) for i, _ in sets}
+
+
 def test_jaccard_pairs(spark):
     rows = near_rows(60)
     sets = brute_sets(rows)

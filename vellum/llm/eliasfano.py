@@ -139,29 +139,52 @@ class Trie:
             node = found
         return node
 
+    def tobytes(self) -> bytes:
+        """The trie as one binary: the number of levels, each sequence's low bits and length, the size of each array, and the arrays, at multiples of 8."""
+        parts = (*self.ids, *self.pointers)
+        arrays = [a for part in parts for a in part.arrays()] + self.values
+        head = np.array([len(self.ids), *(x for p in parts for x in (p.low_bits, p.length)), *(x for a in arrays for x in (len(a), a.dtype.itemsize))], np.int64)
+        whole = [np.array([len(head)], np.int64).tobytes(), head.tobytes()]
+        for a in arrays:
+            body = np.ascontiguousarray(a).tobytes()
+            whole += [body, b"\0" * (-len(body) % 8)]
+        return b"".join(whole)
+
+    @classmethod
+    def frombytes(cls, data: np.ndarray) -> Trie:
+        """The trie in a uint8 array, which may be a mapped file; nothing is copied."""
+        n = int(data[:8].view(np.int64)[0])
+        head = data[8 : 8 + 8 * n].view(np.int64).tolist()
+        levels, at = head[0], 8 + 8 * n
+        parts = 2 * levels - 1
+        shapes, sizes = head[1 : 1 + 2 * parts], head[1 + 2 * parts :]
+        arrays = []
+        for length, width in zip(sizes[::2], sizes[1::2], strict=True):
+            arrays.append(data[at : at + length * width].view(f"u{width}"))
+            at += length * width + -(length * width) % 8
+        made = [EliasFano(shapes[2 * i], shapes[2 * i + 1], *arrays[3 * i : 3 * i + 3]) for i in range(parts)]
+        return cls(made[:levels], made[levels:], arrays[3 * parts :])
+
     def mapped(self) -> Trie:
-        """The same trie, read from a mapped file. The file has no name any more once this returns, so nothing is left behind."""
-        arrays = [a for part in (*self.ids, *self.pointers) for a in part.arrays()] + self.values
-        handle, path = tempfile.mkstemp(prefix="trie-")
-        where = []
-        try:
-            with os.fdopen(handle, "wb") as out:
-                for a in arrays:
-                    where.append(out.tell())
-                    out.write(np.ascontiguousarray(a).tobytes())
-                    out.write(b"\0" * (-out.tell() % 8))
-                out.write(b"\0" * 8)
-            whole = np.memmap(path, np.uint8, "r")
-        finally:
-            os.unlink(path)
-        views = iter([whole[at : at + a.nbytes].view(a.dtype) for at, a in zip(where, arrays, strict=True)])
-        again = lambda parts: [EliasFano(p.low_bits, p.length, next(views), next(views), next(views)) for p in parts]
-        return Trie(again(self.ids), again(self.pointers), [next(views) for _ in self.values])
+        """The same trie, read from a mapped file."""
+        return map_trie(self.tobytes())
 
     def nbytes(self) -> int:
         return sum(a.nbytes for part in (*self.ids, *self.pointers) for a in part.arrays()) + sum(v.nbytes for v in self.values)
 
 
+def map_trie(data: bytes) -> Trie:
+    """The trie of a binary, read from a mapped file. The file has no name any more once this returns, so nothing is left behind."""
+    handle, path = tempfile.mkstemp(prefix="trie-")
+    try:
+        with os.fdopen(handle, "wb") as out:
+            out.write(data)
+        whole = np.memmap(path, np.uint8, "r")
+    finally:
+        os.unlink(path)
+    return Trie.frombytes(whole)
+
+
 def _find_rows(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Places of ``wanted`` rows in lexicographically sorted distinct ``rows``; all must be there."""
     kind = np.dtype([(f"f{i}", ">u8") for i in range(rows.shape[1])])

@@ -8,16 +8,21 @@ Counts and the trie are far larger than one task's memory, so both are dealt int
 
 1. Texts become token batches, written once: the distinct words of a batch and its texts as local ids.
 2. Each batch sends every shard, in one binary, its distinct words and bigrams with their training counts.
-3. A shard adds the counts, builds the trie of its training bigrams (levels of monotone ids and pointers,
-   8-bit quantised log probabilities), maps it from a file that lives no longer than the task, looks up every
-   bigram asked for by successor search within its context's range, and answers each batch in its own order.
+3. A shard adds the counts and builds the trie of its training bigrams: levels of monotone word hashes and
+   pointers, 8-bit quantised log probabilities. The trie, as bytes, goes into the table of answers in the shared
+   folder: it is the model. The shard then maps those bytes and looks up every bigram asked for by its hashes, by
+   successor search within its context's range, and answers each batch in its own order. Nothing else tells it a
+   bigram's probability.
 4. A batch joins its answers and adds up its texts.
 
+:func:`train` gives the stored tries as a :class:`Model`, which scores other documents by the same search, without counting.
+
 Contexts of more than 1/1024 of all training tokens (so there are fewer than 1024, and their exact counts can be
 broadcast) are dealt by context and successor, so that no shard grows with one frequent word. Nothing is
 pruned or sampled; rows sent are never more than the distinct words and bigrams of the batches.
 
-Words are told apart by 64-bit hashes, successors of a context by 48 bits.
+Words are told apart by 64-bit hashes, successors of a context by 40 bits: of a context with n successors in a shard a
+word that is none of them is taken for one with probability n / 2**40.
 
 Edge cases: null text is empty (its one token is the end); a null doc_id trains; repeated rows count each;
 with nothing to train on, p1 is uniform; an empty table gives no rows; other columns are ignored.
@@ -26,6 +31,7 @@ with nothing to train on, p1 is uniform; an empty table gives no rows; other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._shared import keep, mix, slices, text_bytes, words
-from vellum.llm.eliasfano import EliasFano, Trie
+from vellum.llm.eliasfano import Trie, map_trie
 
 DISCOUNT, BATCH, SHARD, CHUNK, HEAVY = 0.75, 600_000, 750_000, 1 << 20, 1024
 START, END = np.uint64(0x51A7_0000_0000_0001), np.uint64(0xE4D0_0000_0000_0003)
-_SHORT = np.uint64((1 << 48) - 1)
+_SHORT_BYTES = 5
+_SHORT = np.uint64((1 << 8 * _SHORT_BYTES) - 1)
 _codec = pa.Codec("zstd", compression_level=1)
 
 
@@ -185,8 +192,8 @@ def _ask(shards: int, heavy: np.ndarray):
                     first = np.flatnonzero(np.concatenate([[True], own.before[p][1:] != own.before[p][:-1]])) if len(p) else p
                     degree = np.diff(np.concatenate([first, [len(p)]])).astype(np.uint64)
                     short = own.named[own.after[p]] & _SHORT
-                    halves = np.ascontiguousarray(short.view(np.uint16).reshape(-1, 4)[:, :3])  # 48 bits each
-                    body = pack(own.named[w], _narrow(own.word_count[w]), own.named[own.before[p][first]], _narrow(degree), _narrow(own.count[p].astype(np.uint64)), halves.view(np.uint8).reshape(-1, 6).ravel())
+                    octets = np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :_SHORT_BYTES])
+                    body = pack(own.named[w], _narrow(own.word_count[w]), own.named[own.before[p][first]], _narrow(degree), _narrow(own.count[p].astype(np.uint64)), octets.ravel())
                     rows.append(s)
                     data.append(body)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([name.as_py()] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "asked"])
@@ -194,55 +201,107 @@ def _ask(shards: int, heavy: np.ndarray):
     return run
 
 
-def _shard(heavy: dict[int, int], step: float):
-    """All that batches ask of a shard -> an answer for each batch; with batch -1, the shard's share of V and of heavy contexts' successors."""
+class _Asked:
+    """All that batches ask of a shard: its distinct words and bigrams, their training counts, and where each batch's are."""
+
+    def __init__(self, messages: pa.ChunkedArray):
+        asked = [unpack(x.as_py(), np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.uint8) for x in messages]
+        bounds = lambda i: np.concatenate([[0], np.cumsum([len(a[i]) for a in asked])]).astype(np.int64)
+        together = lambda i, kind: np.concatenate([np.zeros(0, kind), *(a[i] for a in asked)])
+        self.word_at, self.pair_at = bounds(0), bounds(4)
+        self.names, self.word = np.unique(together(0, np.uint64), return_inverse=True)
+        self.count = np.bincount(self.word, together(1, np.uint64).astype(np.float64), minlength=len(self.names)).astype(np.int64)
+        self.contexts, context = np.unique(together(2, np.uint64), return_inverse=True)
+        wide = np.concatenate([together(5, np.uint8).reshape(-1, _SHORT_BYTES), np.zeros((self.pair_at[-1], 8 - _SHORT_BYTES), np.uint8)], 1)
+        self.successors, successor = np.unique(np.ascontiguousarray(wide).view(np.uint64).ravel(), return_inverse=True)
+        self.key, self.pair = np.unique(np.repeat(context, together(3, np.int64)) * len(self.successors) + successor, return_inverse=True)
+        self.total = np.bincount(self.pair, together(4, np.int64).astype(np.float64), minlength=len(self.key)).astype(np.int64)
+
+    def grams(self, some: np.ndarray | slice) -> np.ndarray:
+        """The hashes of some bigrams, in lexicographic order."""
+        n = max(len(self.successors), 1)
+        return np.stack([self.contexts[self.key[some] // n], self.successors[self.key[some] % n]], 1)
+
+
+def _built(asked: _Asked, heavy: dict[int, int], step: float) -> bytes:
+    """A shard's share of the model: the trie of the bigrams that training has seen, and its words with their counts and distinct successors."""
+    seen = asked.total > 0
+    grams, owner = asked.grams(seen), asked.key[seen] // max(len(asked.successors), 1)
+    distinct = np.bincount(owner, minlength=len(asked.contexts))
+    of_context = np.bincount(owner, asked.total[seen].astype(np.float64), minlength=len(asked.contexts))
+    known = np.array([c in heavy for c in asked.contexts.tolist()], bool)
+    of_context[known] = [heavy[c] for c in asked.contexts[known].tolist()]
+    share = np.maximum(asked.total[seen] - DISCOUNT, 0) / of_context[owner]
+    value = np.clip(np.rint(-np.log10(share) / step), 0, 254).astype(np.uint8)
+    roots = asked.contexts[distinct > 0]
+    trie = Trie.of([(roots[:, None], np.zeros(len(roots), np.uint8)), (grams, value)]).tobytes()
+    counted = asked.count > 0
+    after = np.zeros(len(asked.names), np.uint64)
+    at = np.searchsorted(asked.contexts, asked.names)
+    hit = at < len(asked.contexts)
+    hit[hit] = asked.contexts[at[hit]] == asked.names[hit]
+    after[hit] = distinct[at[hit]]
+    after[np.isin(asked.names, asked.contexts[known])] = 0  # those of heavy contexts are added up over the shards
+    words_ = pack(asked.names[counted], _narrow(asked.count[counted].astype(np.uint64)), _narrow(after[counted]), asked.contexts[known], _narrow(distinct[known].astype(np.uint64)))
+    return np.array([len(trie)], np.int64).tobytes() + trie + words_
+
+
+def _replies(model: bytes, asked: _Asked, batches: list[int]) -> list[tuple[int, bytes]]:
+    """What a shard's share of the model says of the words and bigrams asked: for each batch counts and distinct successors of its words, and codes of its bigrams, 0 for none."""
+    size = int(np.frombuffer(model, np.int64, 1)[0])
+    trie = map_trie(model[8 : 8 + size])
+    known, count, after, *_ = unpack(model[8 + size :], np.uint64, np.int64, np.int64, np.uint64, np.int64)
+    code = np.zeros(len(asked.key), np.uint8)
+    for at in range(0, len(code), CHUNK // 16):
+        node = trie.find(asked.grams(slice(at, at + CHUNK // 16)))
+        code[at : at + CHUNK // 16][node >= 0] = trie.values[1][node[node >= 0]] + np.uint8(1)
+    at = np.searchsorted(known, asked.names)
+    hit = at < len(known)
+    hit[hit] = known[at[hit]] == asked.names[hit]
+    told = np.zeros((2, len(asked.names)), np.uint64)
+    told[:, hit] = count[at[hit]], after[at[hit]]
+    bounds = zip(batches, asked.word_at[:-1], asked.word_at[1:], asked.pair_at[:-1], asked.pair_at[1:], strict=True)
+    return [(b, pack(_narrow(told[0][asked.word[w:x]]), _narrow(told[1][asked.word[w:x]]), code[asked.pair[p:y]])) for b, w, x, p, y in bounds]
+
+
+ANSWER = "batch long, shard int, answer binary"
+
+
+def _answers(shard: int, rows: list[tuple[int, bytes]]) -> pa.Table:
+    batch, data = zip(*rows, strict=True) if rows else ((), ())
+    return pa.table([pa.array(batch, pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array(data, pa.binary())], ["batch", "shard", "answer"])
+
+
+def _shard(heavy: dict[int, int], step: float, reply: bool):
+    """All that batches ask of a shard -> the shard's share of the model, as batch -1, and, with ``reply``, an answer for each batch."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked = [unpack(x.as_py(), np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.uint8) for x in table["asked"]]
-        bounds = lambda i, width=1: np.concatenate([[0], np.cumsum([len(a[i]) // width for a in asked])])
-        together = lambda i: np.concatenate([a[i] for a in asked])
-        word_at, pair_at = bounds(0), bounds(4)
-        names, word = np.unique(together(0), return_inverse=True)
-        count = np.bincount(word, together(1).astype(np.float64), minlength=len(names)).astype(np.int64)
-        contexts, context = np.unique(together(2), return_inverse=True)
-        octets = np.concatenate([together(5).reshape(-1, 6), np.zeros((pair_at[-1], 2), np.uint8)], 1)
-        successors, successor = np.unique(np.ascontiguousarray(octets).view(np.uint64).ravel(), return_inverse=True)
-        key, pair = np.unique(np.repeat(context, together(3)) * len(successors) + successor, return_inverse=True)
-        total = np.bincount(pair, together(4).astype(np.float64), minlength=len(key)).astype(np.int64)
-        asked.clear()
-        # the trie of what training has seen
-        seen = total > 0
-        owner = key[seen] // max(len(successors), 1)
-        distinct = np.bincount(owner, minlength=len(contexts))
-        of_context = np.bincount(owner, total[seen].astype(np.float64), minlength=len(contexts))
-        known = np.array([c in heavy for c in contexts.tolist()], bool)
-        of_context[known] = [heavy[c] for c in contexts[known].tolist()]
-        share = np.maximum(total[seen] - DISCOUNT, 0) / of_context[owner]
-        value = np.clip(np.rint(-np.log10(share) / step), 0, 254).astype(np.uint8)
-        roots = np.unique(owner)
-        grams = np.stack([owner, key[seen] % max(len(successors), 1)], 1)
-        trie = Trie.of([(roots[:, None], np.zeros(len(roots), np.uint8)), (grams, value)]).mapped()
-        vocabulary, listed = EliasFano.of(contexts), EliasFano.of(successors)
-        # every bigram asked for, by the words' own search and then the trie's
-        in_parts = lambda f, wanted: np.concatenate([f(wanted[:0]), *(f(wanted[i : i + CHUNK // 16]) for i in range(0, len(wanted), CHUNK // 16))])
-        place = lambda table, wanted: in_parts(lambda x: table.successor(np.zeros(len(x), np.int64), np.full(len(x), table.length, np.int64), x), wanted)
-        wanted = np.stack([place(vocabulary, contexts)[key // max(len(successors), 1)], place(listed, successors)[key % max(len(successors), 1)]], 1)
-        node = in_parts(trie.find, wanted)
-        code = np.where(node >= 0, trie.values[1][node].astype(np.int16) + 1, 0).astype(np.uint8) if len(trie.values[1]) else np.zeros(len(key), np.uint8)
-        successors_of = np.zeros(len(names), np.int64)
-        at = np.searchsorted(contexts, names)
-        hit = at < len(contexts)
-        hit[hit] = contexts[at[hit]] == names[hit]
-        successors_of[hit] = distinct[at[hit]]
-        rows = [(b, pack(_narrow(count[word[w:x]].astype(np.uint64)), _narrow(successors_of[word[w:x]].astype(np.uint64)), code[pair[p:y]]), 0) for b, w, x, p, y in zip(table["batch"].to_pylist(), word_at[:-1], word_at[1:], pair_at[:-1], pair_at[1:], strict=True)]
-        own = np.flatnonzero(known)
-        rows.append((-1, pack(contexts[own], distinct[own].astype(np.uint64)), int((count > 0).sum())))
-        batch, data, words_seen = zip(*rows, strict=True)
-        return pa.table([pa.array(batch, pa.int64()), pa.array([table["shard"][0].as_py()] * len(rows), pa.int32()), pa.array(data, pa.binary()), pa.array(words_seen, pa.int64())], ["batch", "shard", "answer", "words"])
+        asked = _Asked(table["asked"])
+        model = _built(asked, heavy, step)
+        return _answers(table["shard"][0].as_py(), [(-1, model), *(_replies(model, asked, table["batch"].to_pylist()) if reply else [])])
 
     return run
 
 
+def _look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What batches ask of a shard and its share of the model -> an answer for each batch."""
+    if not left.num_rows:
+        return _answers(0, [])
+    asked = _Asked(left["asked"])
+    model = right["answer"][0].as_py() if right.num_rows else _built(_Asked(pa.chunked_array([], pa.binary())), {}, 1.0)
+    return _answers(left["shard"][0].as_py(), _replies(model, asked, left["batch"].to_pylist()))
+
+
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares of the model -> their number of words, as name 0, and the distinct successors of heavy contexts."""
+    for batch in batches:
+        for data in batch.column(0):
+            model = data.as_py()
+            size = int(np.frombuffer(model, np.int64, 1)[0])
+            known, *_, contexts, distinct = unpack(model[8 + size :], np.uint64, np.int64, np.int64, np.uint64, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(contexts.view(np.int64), 0)), pa.array(np.append(distinct, 0)), pa.array(np.append(np.zeros(len(contexts), np.int64), len(known)))], ["name", "n", "words"])
+
+
 def _add_up(shards: int, heavy: dict[int, tuple[int, int]], total: int, words_seen: int, step: float):
     """A token batch and its answers -> a row a text."""
 
@@ -280,13 +339,45 @@ def _add_up(shards: int, heavy: dict[int, tuple[int, int]], total: int, words_se
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document (doc_id, held_out, text); those not held out train the model."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
     made = docs.select("doc_id", "held_out", "text").mapInArrow(
-        _tokenise, f"batch long, ids array<{kind}>, outs array<boolean>, tokens long, train_words long, train_texts long, vocabulary binary, texts binary"
+        _tokenise, f"batch long, ids array<{_kind(docs)}>, outs array<boolean>, tokens long, train_words long, train_texts long, vocabulary binary, texts binary"
     )
-    tokens = keep(made, "lm-tokens")
+    return keep(made, "lm-tokens")
+
+
+@dataclass
+class Model:
+    """A stored model: ``shares`` (shard, answer) hold the tries, the rest a bounded number of figures."""
+
+    shares: DataFrame
+    shards: int
+    heavy: dict[int, tuple[int, int]]
+    total: int
+    words_seen: int
+    step: float
+
+    def _scored(self, tokens: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
+        left, right = tokens.select("batch", "ids", "outs", "vocabulary", "texts"), answers.select("batch", "shard", "answer")
+        return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(
+            _add_up(self.shards, self.heavy, self.total, self.words_seen, self.step),
+            f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        )
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """As :func:`score`, for documents (doc_id, held_out, text) that the model need not know."""
+        tokens = _tokens(docs)
+        asked = tokens.select("batch", "outs", "vocabulary", "texts").mapInArrow(_ask(self.shards, np.array(list(self.heavy), np.uint64)), "shard int, batch long, asked binary")
+        found = asked.groupBy("shard").cogroup(self.shares.groupBy("shard")).applyInArrow(_look_up, ANSWER)
+        return self._scored(tokens, found, _kind(docs))
+
+
+def _trained(docs: DataFrame, reply: bool) -> tuple[Model, DataFrame, DataFrame]:
+    tokens = _tokens(docs)
     everything = tokens.agg(F.sum("tokens"), F.sum("train_words"), F.sum("train_texts")).first()
     all_tokens, train_words, train_texts = (x or 0 for x in everything)
     shards = 3 + all_tokens // SHARD
@@ -298,15 +389,20 @@ def score(docs: DataFrame) -> DataFrame:
     heavy = {int(np.int64(r["name"]).view(np.uint64)): r["n"] for r in exact} | {int(START): train_texts}
     step = max(np.log10(total + 10.0) + 0.7, 1.0) / 254
     asked = tokens.select("batch", "outs", "vocabulary", "texts").mapInArrow(_ask(shards, np.array(list(heavy), np.uint64)), "shard int, batch long, asked binary")
-    answers = keep(asked.groupBy("shard").applyInArrow(_shard(heavy, step), "batch long, shard int, answer binary, words long"), "lm-answers")
-    words_seen, after = 0, dict.fromkeys(heavy, 0)
-    for row in answers.filter("batch = -1").toLocalIterator():  # a row a shard
-        words_seen += row["words"]
-        for name, n in zip(*unpack(bytes(row["answer"]), np.uint64, np.int64), strict=True):
-            after[int(name)] += int(n)
-    told = {name: (n, after[name]) for name, n in heavy.items()}
-    left, right = tokens.select("batch", "ids", "outs", "vocabulary", "texts"), answers.select("batch", "shard", "answer").filter("batch >= 0")
-    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(
-        _add_up(shards, told, total, words_seen, step),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    answers = keep(asked.groupBy("shard").applyInArrow(_shard(heavy, step, reply), ANSWER), "lm-answers")
+    shares = answers.filter("batch = -1").select("shard", "answer")
+    told = shares.select("answer").mapInArrow(_summary, "name long, n long, words long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()  # HEAVY + 2 rows at most
+    after = {int(np.int64(r["name"]).view(np.uint64)): r["n"] for r in told}
+    return Model(shares, shards, {name: (n, after.get(name, 0)) for name, n in heavy.items()}, total, sum(r["words"] for r in told), step), tokens, answers
+
+
+def train(docs: DataFrame) -> Model:
+    """The model of the documents (doc_id, held_out, text) that are not held out."""
+    return _trained(docs, False)[0]
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document (doc_id, held_out, text); those not held out train
+    the model. Each shard answers right after it has built its share, so counts and questions travel once."""
+    model, tokens, answers = _trained(docs, True)
+    return model._scored(tokens, answers.filter("batch >= 0"), _kind(docs))
