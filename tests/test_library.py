@@ -210,3 +210,29 @@ def test_store_ids_go_on(spark):
     sessions_ = spark.createDataFrame([(1, "t", {"a": "1"})], "session_id long, title string, metadata map<string,string>")
     told = store.summarised(sessions_, spark.createDataFrame([(1, "short")], "session_id long, summary_text string")).first()
     assert told.metadata == {"a": "1", "summary_text": "short"}
+
+
+def test_folder_into_stores(spark, tmp_path):
+    """A folder taken in twice: changed files replace themselves, known chunks are not embedded again."""
+    (tmp_path / "acme.md").write_text("# Acme Corporation: Tools, 10-K\n\nFiscal Year: 2021 was long enough to be kept as it is.\n")
+    (tmp_path / "b.txt").write_text("A second text that says something of some length.")
+    (tmp_path / "c.pdf").write_bytes(b"broken")
+    asked = []
+
+    def model(texts):
+        asked.extend(texts)
+        return indexing_embedding(texts)
+
+    from vellum.operators import ingest
+    from vellum.operators.indexing import hashed_embedding as indexing_embedding
+
+    first = ingest.folder(spark, str(tmp_path), ingest.empty(spark))
+    rows = {r.title: r for r in first.documents.collect()}
+    assert set(rows) == {"acme", "b"} and rows["acme"].fiscal_year == "2021" and rows["acme"].quality > 0
+    assert [r.error.split(":")[0] for r in first.failed.collect()] == ["ValueError"]
+    hashes = {r.chunk_hash for r in first.chunks.collect()}
+    assert hashes == {r.chunk_hash for r in first.vectors.collect()} and len(hashes) == 2
+    (tmp_path / "b.txt").write_text("Another text that says something else of some length.")
+    second = ingest.folder(spark, str(tmp_path), first, model)
+    assert second.documents.count() == 2 and second.chunks.count() == 2 and second.vectors.count() == 2
+    assert {r.chunk_hash for r in second.chunks.collect()} & hashes == {r.chunk_hash for r in first.chunks.filter("chunk_text LIKE '%Fiscal%'").collect()}

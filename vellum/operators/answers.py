@@ -156,6 +156,28 @@ def answer(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], gen
     return judged.select("query_id", "query", with_citations(F.col("answer"), F.col("_cited")).alias("answer"), "confidence", "n_sources", "is_supported", "support_level", "method")
 
 
+def refined(df: DataFrame, model: Model, enabled: bool = False, key: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Verified answers after at most one more try, which is off unless ``enabled``: ``model`` gets those that :func:`refine_reason` lets through and
+    gives key columns and answer; an answer of less than three characters, or none, leaves the draft. Adds refined, refine and refine_reason."""
+    gated = refine_reason(df, enabled)
+    told = model(gated.filter("refine")).select(*key, F.col("answer").alias("_new"))
+    met = gated.join(told, list(key), "left")
+    taken = F.col("refine") & (F.length(X.strip(X.blank(F.col("_new")))) >= 3)
+    return met.withColumns({"refined": taken, "answer": F.when(taken, F.col("_new")).otherwise(F.col("answer"))}).drop("_new")
+
+
+def first_sentences(texts: DataFrame) -> DataFrame:
+    """A stand-in for a summarising model: the first three sentences."""
+    return texts.select("id", F.array_join(X.key_sentences(F.col("text")), " ").alias("summary"))
+
+
+def summaries(texts: DataFrame, model: Model = first_sentences, most: int = 6000) -> DataFrame:
+    """id, summary of texts (id, text) by a model, which gets ``most`` characters of each; blank texts have none and are not asked about."""
+    tidy = X.normalize_whitespace(F.col("text"))
+    asked = texts.select("id", F.substring(tidy, 1, most).alias("text")).filter("text <> ''")
+    return texts.select("id").join(model(asked), "id", "left").select("id", X.blank(F.col("summary")).alias("summary"))
+
+
 def expanded_history(questions: DataFrame, history: DataFrame) -> DataFrame:
     """Questions of two terms or less, with the terms of the last turn (query_id, text) of their history."""
     last = history.select("query_id", F.col("text").alias("_last"))

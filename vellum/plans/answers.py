@@ -98,6 +98,21 @@ def verify_by_model(spark, sf_dir):
     return A.verified(judged(spark, sf_dir), model, ("conv_id", "turn")).select("conv_id", "turn", "is_supported", "support_level", "method")
 
 
+@query(f"WITH {JUDGED}, {REFINE} SELECT conv_id, turn, refine_reason IN ('verifier_unsupported', 'numeric_inconsistency', 'citation_missing') AND conv_id % 2 = 0 AS refined, md5(CASE WHEN refine_reason IN ('verifier_unsupported', 'numeric_inconsistency', 'citation_missing') AND conv_id % 2 = 0 THEN answer || ' again' ELSE answer END) AS digest FROM rw")
+def refine_answers(spark, sf_dir):
+    """A stand-in for a model that says its answer again, and says too little for odd conversations."""
+    made = evaluation.verify(judged(spark, sf_dir)).withColumns({"n_evidence": F.when(F.col("turn") % 5 == 0, 0).otherwise(2), "method": F.when(F.col("conv_id") % 7 > 0, "heuristic")})
+    model = lambda df: df.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, F.concat("answer", F.lit(" again"))).otherwise(" x").alias("answer"))
+    return A.refined(made, model, True, ("conv_id", "turn")).select("conv_id", "turn", "refined", F.md5("answer").alias("digest"))
+
+
+@query(rf"SELECT doc_id AS id, CASE WHEN {tidy_sql('text')} = '' THEN '' ELSE md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(substr({tidy_sql('text')}, 1, 6000), '([。！？.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: {STRIP.format('p')}), lambda p: p <> '')[1:3], ' ')) END AS digest FROM documents")
+def document_summaries(spark, sf_dir):
+    """Every document summarised by a stand-in for a model: its first three sentences."""
+    made = A.summaries(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return made.select("id", F.when(F.col("summary") == "", "").otherwise(F.md5("summary")).alias("digest"))
+
+
 FIRST = f"""best AS (SELECT query_id, {tidy_sql('chunk_text')} AS t FROM rk WHERE rank = 1), sent AS (SELECT query_id, coalesce(list_filter(list_transform(string_split(regexp_replace(regexp_extract(t, '^((?s).*)$', 1), '([。！？.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: {STRIP.format('p')}), lambda p: p <> '')[1], '') AS answer FROM best)"""
 
 

@@ -665,7 +665,7 @@ def evidence_similarity(spark, sf_dir):
 
 
 def answers(spark, sf_dir):
-    """Assistant turns as answers to the user turns before them, with the next document's start as evidence."""
+    """Assistant turns as answers to the turns before them."""
     turns = table(spark, sf_dir, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return turns.withColumn("query", before).filter("role = 'assistant'").select("conv_id", "turn", F.coalesce("query", F.lit("")).alias("query"), F.col("text").alias("answer"))
@@ -673,6 +673,7 @@ def answers(spark, sf_dir):
 
 @query()
 def verify_heuristic(spark, sf_dir):
+    """Answers against the whole text of the document whose id is their conversation's, cited where the turn is odd."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("evidence"))
     made = evaluation.verify(answers(spark, sf_dir).join(docs, "conv_id", "left").withColumn("cited", F.col("turn") % 2 == 1))
     return made.select("conv_id", "turn", "is_supported", "support_level", "numeric_consistency", "citation_adequate", F.array_join("reasons", ",").alias("reasons"))
