@@ -16,10 +16,10 @@ def _state(edges: DataFrame) -> tuple:
 SPREAD = 8
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges with the m of their u: a hub's edges are dealt by their other end, and its one row goes to each part."""
-    dealt = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
-    return dealt.join(least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), ["u", "part"]).drop("part")
+def spread_join(rows: DataFrame, told: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with the one row of ``told`` for their key: rows of a frequent key are dealt by another column, and its one row goes to each part."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    return dealt.join(told.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))), [key, "_part"]).drop("_part")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -35,9 +35,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, "u", "v").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         before, state = state, _state(edges)
         if state == before:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._shared import keep, mix, slices, text_bytes, words
-from vellum.llm.components import components
+from vellum.llm.components import components, spread_join
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 128
 CHUNK, BLOCK_GRAMS, BLOCK_ROWS, GROUP_GRAMS, PAIRS = 2 << 20, 500_000, 1024, 250_000, 200_000
@@ -288,9 +288,12 @@ class Join:
         if self.cut.limit(1).count():
             joined = components(found.select(F.col("cls").alias("u"), F.col("root").alias("v")))
             links = links.drop("root").join(joined.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        classes = self.classes.join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = classes.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-        classes = classes.join(least, "root").select("cls", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        # only linked classes have a group to be named after; the others are their own
+        linked = keep(self.classes.join(links, "cls").withColumn("root", F.coalesce("root", "cls")).select("cls", "root", "doc_id", "links"), "jaccard-linked")
+        least = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+        named = spread_join(linked.drop("doc_id"), least, "root", "cls").withColumn("_linked", F.lit(True))
+        own = lambda name, else_: F.when(F.col("_linked"), F.col(name)).otherwise(F.col(else_)).alias(name)
+        classes = self.classes.join(named, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), own("class_id", "doc_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
         out = self.docs.select("doc_id", "row_key", "cls").join(classes, "cls", "left")
         return out.select("doc_id", "row_key", "root", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
