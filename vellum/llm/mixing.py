@@ -6,7 +6,7 @@ added per source, and a document is emitted once for each integer that its step
 goes by size, the words that a source gives miss its target by little more than one document.
 
 The prefix sum is a rank times a constant. Ranks are found without bringing a source into one task:
-documents fall into cells (source, size class, two hash digits), cells are counted before the shuffle and
+documents fall into cells (source, size class, first hash digits: as many as keep a cell near a million rows), cells are counted before the shuffle and
 written, a running sum over the few cells of a source gives each cell its first rank, and rows are numbered
 within cells. Words are counted once for the cells and once for the rows; a ``size`` that is given is not counted
 at all. There is a row a source in :func:`targets`: sources are named collections, thousands, not hosts.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from vellum.llm._shared import WORD_PATTERN, keep
 
 MOST = 3  # times a source's or a document's own size
+CELLED = 1 << 27  # documents that one hash digit is enough for; sixteen times as many take one more
 
 
 def word_count(text: Column) -> Column:
@@ -52,6 +53,9 @@ def mix_plan(docs: DataFrame, seed: str = "mix", sized: bool = False) -> DataFra
     """``docs`` with size, source_size, target, copies and taken (words). With ``sized`` they hold their size in place of a text."""
     docs = docs.drop("source_size", "target", "copies", "taken")
     docs = docs if sized else docs.withColumn("size", word_count(F.col("text")))
+    digits, n = 1, docs.count()
+    while n > CELLED * 16 ** (digits - 1) and digits < 8:
+        digits += 1
     # named structs, as joins on plain null sources would lose them
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     bits = "length(bin(size))"
@@ -60,7 +64,7 @@ def mix_plan(docs: DataFrame, seed: str = "mix", sized: bool = False) -> DataFra
         key.alias("_source"),
         F.expr(f"{bits} * 16 + shiftright(size, greatest({bits} - 4, 0))").alias("_class"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_order"),
-    ).withColumn("_digit", F.substring("_order", 1, 2))
+    ).withColumn("_digit", F.substring("_order", 1, digits))
     cell = ["_source", "_class", "_digit"]
     cells = keep(placed.groupBy(*cell).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
     along = Window.partitionBy("_source").orderBy("_class", "_digit").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +77,7 @@ def mix_plan(docs: DataFrame, seed: str = "mix", sized: bool = False) -> DataFra
         "target",
         offset.alias("_offset"),
     )
-    cells = cells.join(aimed, "_source")
+    cells = keep(cells.join(aimed, "_source"), "mix-aimed")  # of known size: else rows would be dealt anew, by source
     ranked = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "doc_id"))).join(cells, cell)
     step = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size").cast("double"))
     crossed = lambda rank: F.floor(rank.cast("double") * step + F.col("_offset"))
