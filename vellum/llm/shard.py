@@ -14,6 +14,8 @@ exact: a shard keeps linked documents up to its share, members of larger hubs fi
 unlinked are numbered, and their number says which free slot is theirs. Numbering goes by cells (hash bins counted before the shuffle),
 so neither a shard nor a hub has to fit into one task.
 
+Four rounds are run by default; a document that would still move then stays, which costs cut edges, not balance.
+
 Edge cases: null text links nothing and has size 8 and crc 0; repeated rows count each; doc_id may be
 null; an empty table gives no rows; other columns are ignored.
 """
