@@ -85,11 +85,12 @@ def test_folder(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Said </w:t><w:t>so</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>')
     below = tmp_path / "below"
     below.mkdir()
-    for name, data in {"a.txt": "﻿ hello ".encode(), "b.md": "中文内容".encode("gbk"), "c.docx": made.getvalue(), "d.docx": b"broken", "e.pdf": b"%PDF"}.items():
+    for name, data in {"a.txt": "﻿ hello ".encode(), "b.md": "中文内容".encode("gbk"), "c.docx": made.getvalue(), "d.docx": b"broken", "e.pdf": b"%PDF", "f.xyz": b"?"}.items():
         (below / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[-1]: r for r in files.read_folder(spark, str(tmp_path)).collect()}
     assert got["a.txt"].text == "hello" and got["b.md"].text == "中文内容" and got["c.docx"].text == "## Head\n\nSaid so\n\n| 1 |  |"
-    assert got["d.docx"].text is None and "BadZipFile" in got["d.docx"].error and got["e.pdf"].error == "no reader for pdf files"
+    assert got["d.docx"].text is None and "BadZipFile" in got["d.docx"].error and got["e.pdf"].error == "ValueError: no text in the PDF file"
+    assert got["f.xyz"].text is None and got["f.xyz"].error == "no reader for unknown files"
 
 
 def test_index_embeds_only_new(spark):

@@ -55,6 +55,7 @@ def fitting(texts: Column, most: int = MOST_CHARS, count: int = MOST_TEXTS) -> C
 
 def messages(df: DataFrame, system: str = SYSTEM, most: int = MOST_CHARS) -> DataFrame:
     """id, messages (role, content) from samples (id, question, gold_answer, evidence: array of texts); samples without evidence are left out."""
+    # fixed values: the forms of the evidence and of the prompt
     texts = fitting(F.col("evidence"), most)
     blocks = F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("[Evidence "), (i + 1).cast("string"), F.lit("]\n"), X.strip(t))), "\n\n---\n\n")
     asked = F.concat(F.lit("Question: "), X.strip(X.blank(F.col("question"))), F.lit("\n\nEvidence:\n"), blocks, F.lit("\n\nPlease answer the question based on the evidence above."))
