@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from vellum.functions import query as Q
 from vellum.functions import text as X
+from vellum.operators import scan
 from vellum.operators.index import Index, of
+from vellum.operators.scan import B, K1
 from vellum.sources.scratch import keep
 
-K1, B = 1.2, 0.75
-
 
 def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("query")))).alias("term"))
@@ -105,17 +105,8 @@ def lexical_recall(source: Index | DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def boolean_prefix(source: Index | DataFrame, queries: DataFrame, k: int = 10, require_all: bool = False) -> DataFrame:
-    """Chunks with words that begin with the query's terms; score: the number of matched terms.
-
-    A chunk's words are reduced to the distinct terms they begin with before these meet the queries."""
-    index = of(source)
-    terms = keep(query_tokens(queries), "terms")
-    begun = begun_words(index, terms)
-    held = index.postings.select(F.col("term").alias("word"), "chunk_id").join(begun, "word").select("chunk_id", "term").distinct()
-    matched = held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    if require_all:
-        matched = matched.join(terms.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").filter("score = wanted").drop("wanted")
-    return top_k(matched, k)
+    """Chunks with words that begin with the query's terms; score: the number of matched terms."""
+    return keep(top_k(scan.best(of(source), query_tokens(queries), k, "matched", prefix=True, require_all=require_all), k), "hits")
 
 
 def dot(a: Column, b: Column) -> Column:
