@@ -47,9 +47,8 @@ def counted(index: Index, terms: DataFrame) -> DataFrame:
 
 
 def fulltext(source: Index | DataFrame, queries: DataFrame, k: int = 10, ranking: str = "bm25") -> DataFrame:
-    """query_id, chunk_id, score, rank by BM25 or by tf * idf ** 2 (``tfidf2``)."""
-    index = of(source)
-    return top_k(ranked(index.postings, counted(index, query_tokens(queries)), index.size, ranking), k)
+    """query_id, chunk_id, score, rank by BM25 or by tf * idf ** 2 (``tfidf2``), written: what follows may read them several times."""
+    return keep(top_k(scan.best(of(source), query_tokens(queries), k, ranking), k), "hits")
 
 
 def begun_words(index: Index, terms: DataFrame) -> DataFrame:
