@@ -35,7 +35,7 @@ def _bm25_weight() -> Column:
 def ranked(postings: DataFrame, terms: DataFrame, size: DataFrame, ranking: str = "bm25") -> DataFrame:
     """query_id, chunk_id, score of terms (query_id, term, df) over postings, given the one row (n, mean) of their chunks.
 
-    Postings lie by chunk, and few terms are asked for, so the sums stay where the postings are."""
+    Postings lie by chunk, and few terms are asked for, so the sums stay where the postings are. All of them are rows here; searches take :func:`scan.best`."""
     weight = _bm25_weight() if ranking == "bm25" else F.col("tf") * F.pow(F.log10(F.col("n") / F.col("df")), 2)
     met = postings.join(terms, "term").join(F.broadcast(size))  # one row
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score"))
@@ -51,21 +51,6 @@ def fulltext(source: Index | DataFrame, queries: DataFrame, k: int = 10, ranking
     return keep(top_k(scan.best(of(source), query_tokens(queries), k, ranking), k), "hits")
 
 
-def begun_words(index: Index, terms: DataFrame) -> DataFrame:
-    """word, term: the words of the index that begin with a wanted term. Only words shorter or longer by what is asked are looked at:
-    each word offers its prefixes of the lengths that terms have."""
-    wanted = terms.select("term").distinct()
-    lengths = F.broadcast(wanted.select(F.length("term").alias("m")).distinct().agg(F.collect_list("m").alias("lengths")))  # one row, as long as there are word lengths
-    words = index.vocabulary.join(lengths).select(F.col("term").alias("word"), F.explode(F.filter("lengths", lambda m: m <= F.length("term"))).alias("m"))
-    return keep(words.select("word", F.substr("word", F.lit(1), F.col("m")).alias("term")).join(wanted, "term"), "begun")
-
-
-def prefix_postings(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings of the terms as prefixes: tf counts all words that begin with one, so its scores compare with those of whole words."""
-    begun = begun_words(index, terms)
-    return index.postings.withColumnRenamed("term", "word").join(begun, "word").groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
-
-
 #: Hits fetched by whole words and by prefixes for a question, for its financial expansion, and by words for LIABILITIES where a ratio is asked for.
 FETCHED, EXPANDED, FOR_RATIO = 400, 60, 20
 RATIO_WORDS, LIABILITIES = ["quick ratio", "current ratio", "liquidity"], "total current liabilities"
@@ -85,11 +70,8 @@ def lexical_recall(source: Index | DataFrame, queries: DataFrame) -> DataFrame:
     ))
     asked = queries.select("query_id", F.explode(parts).alias("p")).select(F.struct("query_id", "p.part").alias("query_id"), "p.query")
     terms = keep(query_tokens(asked), "terms")
-    begun = terms.filter("query_id.part <> 'ratio'")
-    words = top_k(ranked(index.postings, counted(index, terms), index.size), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
-    longer = prefix_postings(index, begun)  # made where the postings lie, once for the counts and once for the scores
-    held = keep(longer.groupBy("term").agg(F.count("*").alias("df")).join(begun, "term").select("query_id", "term", "df"), "asked")
-    prefixes = top_k(ranked(longer, held, index.size), FETCHED).withColumn("order", F.lit(1))
+    words = top_k(scan.best(index, terms, FETCHED), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
+    prefixes = top_k(scan.best(index, terms.filter("query_id.part <> 'ratio'"), FETCHED, prefix=True), FETCHED).withColumn("order", F.lit(1))
     hits = words.unionByName(prefixes).select("query_id.query_id", "query_id.part", "chunk_id", "score", "rank", "order")
     asked_for, ratio_part = F.col("part") == "asked", F.col("part") == "ratio"
     more = ~asked_for & (F.col("rank") <= F.when(ratio_part, FOR_RATIO).otherwise(EXPANDED))
