@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import spans, tables
 from vellum.operators import indexing
 from vellum.plans import catalog
-from vellum.sources import blocks, files
+from vellum.sources import blocks, chunking, files
 
 SMALL = "/root/testdata/sf0.001"
 MARKDOWN = """# Top
@@ -117,3 +117,10 @@ def test_new_queries_match_sql(spark, name):
 @pytest.mark.parametrize("name", ["text_parser_blocks", "block_clean", "block_content", "block_chunks", "numeric_evidence", "highlight_spans"])
 def test_new_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_chunking_reads_the_words_of_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "a " * 81, "en", "c"), (2, " \n", "en", "c"), (3, None, "en", "c"), (4, "", "en", "c")], "doc_id long, text string, lang string, source string")
+    made = chunking.word_windows(docs)
+    assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert [(r.doc_id, r.chunk_index, len(r.chunk_text)) for r in made.orderBy("chunk_id").collect()] == [(1, 0, 159), (1, 1, 1)]

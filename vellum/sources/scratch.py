@@ -37,10 +37,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def bucketed(df: DataFrame, name: str, buckets: int, key: str, order: str) -> DataFrame:
     """``df`` written in ``buckets`` files by the hash of ``key``, each sorted by ``order``. ``df`` must be partitioned by that key and number already
-    (``repartition(buckets, key)``), so that each task writes one file."""
+    (``repartition(buckets, key)``), so that each task writes one file. Zstandard: large tables of text take a third less than with Spark's default."""
     spark = df.sparkSession
     table = f"vellum_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(order).option("path", path_of(spark, name)).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, key).sortBy(order).option("path", path_of(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
