@@ -69,10 +69,11 @@ def lexical_recall(source: Index | DataFrame, queries: DataFrame) -> DataFrame:
         F.when(financial & ratio, F.struct(F.lit("ratio").alias("part"), F.lit(LIABILITIES).alias("query"))),
     ))
     asked = queries.select("query_id", F.explode(parts).alias("p")).select(F.struct("query_id", "p.part").alias("query_id"), "p.query")
-    terms = keep(query_tokens(asked), "terms")
-    words = top_k(scan.best(index, terms, FETCHED), FETCHED).withColumn("order", F.when(F.col("query_id.part") == "ratio", 2).otherwise(0))
-    prefixes = top_k(scan.best(index, terms.filter("query_id.part <> 'ratio'"), FETCHED, prefix=True), FETCHED).withColumn("order", F.lit(1))
-    hits = words.unionByName(prefixes).select("query_id.query_id", "query_id.part", "chunk_id", "score", "rank", "order")
+    # of words and of prefixes, each part's hits have ranks of their own
+    found = scan.best_of_both(index, query_tokens(asked), FETCHED).filter("NOT prefix OR query_id.part <> 'ratio'")
+    ranked_ = top_k(found.withColumn("query_id", F.struct("query_id.query_id", "query_id.part", "prefix")).drop("prefix"), FETCHED)
+    order = F.when(F.col("query_id.part") == "ratio", 2).otherwise(F.col("query_id.prefix").cast("int"))
+    hits = ranked_.select("query_id.query_id", "query_id.part", "chunk_id", "score", "rank", order.alias("order"))
     asked_for, ratio_part = F.col("part") == "asked", F.col("part") == "ratio"
     more = ~asked_for & (F.col("rank") <= F.when(ratio_part, FOR_RATIO).otherwise(EXPANDED))
     # one pass over the hits, so that no part of the plan is there twice
