@@ -1,5 +1,7 @@
 """Chunk ids, the stored index and its searches on small hand-made inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,15 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     first = scratch.stamp(spark, scratch.root(spark) + "/x")
     spark.range(4000).write.mode("overwrite").parquet(scratch.root(spark) + "/x")
     assert scratch.stamp(spark, scratch.root(spark) + "/x") != first
+
+
+def test_candidates_are_lowered_once(spark):
+    """A candidate's text is lowered once for its keywords and once for all signals, not for each term, word and branch."""
+    found = spark.createDataFrame([(1, 1, "is it U.S. cash e.g. now", "the U.S. cash, e.g. now", "t", "s", 1, 0.5, 0.5)], "query_id long, chunk_id long, query string, chunk_text string, title string, section string, page_start long, embedding double, bm25 double")
+    words = search.keyword_components(found).withColumnsRenamed({"keyword_score": "keyword", "coverage_score": "coverage"})
+    fused = ranking.fused_score(words.withColumns({"block_count": F.lit(1), "depth": F.lit(1)}))
+    assert fused.columns == [*words.columns, "block_count", "depth", "final_score"]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(words).count("lower(chunk_text") == 1
+    assert len(re.findall(r"lower\(concat\(chunk_text#\d+,\s+, chunk_text", plan(fused))) == 1
+    assert [r.coverage for r in words.collect()] == [4 / 6]  # "e.g." and "U.S." are words of the text where no word character follows

@@ -56,10 +56,17 @@ def length_penalty(text: Column) -> Column:
     return F.when(n < 30, 0.05).when(n < 60, 0.02).when(n > 1800, 0.10).when(n > 1200, 0.06).otherwise(0.0)
 
 
-def numeric_density(text: Column, search: Column) -> Column:
+# Counts that branches of a signal share are functions of their own (``*_hits``). Given as columns (``counts``), no branch counts again.
+
+
+def numeric_hits(text: Column, search: Column) -> Column:
     both = F.concat(text, F.lit(" "), search)
     finance = reduce(lambda a, b: a + b, [count(both, p) for p in FINANCE_PATTERNS])
-    n = F.contains(both, F.lit("$")).cast("int") + F.contains(both, F.lit("%")).cast("int") + (finance >= 2).cast("int") + (count(both, NUMBER) >= 5).cast("int")
+    return F.contains(both, F.lit("$")).cast("int") + F.contains(both, F.lit("%")).cast("int") + (finance >= 2).cast("int") + (count(both, NUMBER) >= 5).cast("int")
+
+
+def numeric_density(text: Column, search: Column, counts: Column | None = None) -> Column:
+    n = numeric_hits(text, search) if counts is None else counts
     return F.when(n >= 3, NUMERIC_WEIGHT).when(n == 2, NUMERIC_WEIGHT * 0.6).when(n == 1, NUMERIC_WEIGHT * 0.25).otherwise(0.0)
 
 
@@ -72,10 +79,15 @@ def table_like(text: Column, section: Column) -> Column:
     return F.least(F.lit(TABLE_WEIGHT), title + shape)
 
 
-def intent_match(text: Column, search: Column, section: Column, intent: Column) -> Column:
-    section = F.lower(section)
-    whole = F.concat(F.lower(F.concat(text, F.lit(" "), search)), F.lit(" "), section)
-    n, k, d = hits(whole, NUMERIC_INTENT), hits(whole, LIST_INTENT), hits(section, DESCRIPTIVE_INTENT)
+def intent_hits(low: Column, section: Column) -> Column:
+    """Numeric, list and descriptive words of a lower case text and section."""
+    whole = F.concat(low, F.lit(" "), section)
+    return F.struct(hits(whole, NUMERIC_INTENT).alias("n"), hits(whole, LIST_INTENT).alias("k"), hits(section, DESCRIPTIVE_INTENT).alias("d"))
+
+
+def intent_match(text: Column, search: Column, section: Column, intent: Column, counts: Column | None = None) -> Column:
+    counts = intent_hits(F.lower(F.concat(text, F.lit(" "), search)), F.lower(section)) if counts is None else counts
+    n, k, d = (counts[c] for c in "nkd")
     numeric = F.when(n >= 3, INTENT_WEIGHT).when(n == 2, INTENT_WEIGHT * 0.65).when(n == 1, INTENT_WEIGHT * 0.3).otherwise(0.0)
     listed = F.when(k >= 2, INTENT_WEIGHT).when(k == 1, INTENT_WEIGHT * 0.5).otherwise(0.0)
     return F.when(intent == "numeric_fact", numeric).when(intent == "list_fact", listed).when((intent == "descriptive") & (d >= 1), INTENT_WEIGHT * 0.5).otherwise(0.0)
@@ -86,15 +98,15 @@ def noise_penalty(text: Column, section: Column) -> Column:
     return F.when(noisy, -NOISE_WEIGHT).when((F.length(text) < 80) & ~text.rlike("[0-9]"), -NOISE_WEIGHT * 0.5).otherwise(0.0)
 
 
-def narrative_bonus(text: Column, search: Column, section: Column) -> Column:
-    section, whole = F.lower(section), F.lower(F.concat(text, F.lit(" "), search))
-    n = hits(whole, FINANCE_WORDS)
+def narrative_bonus(text: Column, search: Column, section: Column, counts: Column | None = None) -> Column:
+    section = F.lower(section)
+    n = hits(F.lower(F.concat(text, F.lit(" "), search)), FINANCE_WORDS) if counts is None else counts
     told = F.when(contains_any(section, NARRATIVE), 0.06).otherwise(0.0)
     return F.when(contains_any(section, NARRATIVE_NOISE), -0.05).otherwise(told + F.when(n >= 3, 0.05).when(n >= 1, 0.025).otherwise(0.0))
 
 
-def causal_bonus(text: Column, search: Column, query: Column) -> Column:
-    n = hits(F.lower(F.concat(text, F.lit(" "), search)), CAUSAL)
+def causal_bonus(text: Column, search: Column, query: Column, counts: Column | None = None) -> Column:
+    n = hits(F.lower(F.concat(text, F.lit(" "), search)), CAUSAL) if counts is None else counts
     causal = F.least(F.lit(0.06), n * 0.025) * F.when(contains_any(F.lower(query), DRIVERS), 1.5).otherwise(1.0)
     numeric = F.when(F.contains(text, F.lit("$")) | F.contains(text, F.lit("%")), 0.04).otherwise(0.02)
     return F.when(n >= 1, causal + numeric).otherwise(0.0)

@@ -29,8 +29,15 @@ def page_diversity(df: DataFrame, top: int = 20) -> Column:
 def fused_score(df: DataFrame) -> DataFrame:
     """Adds final_score to candidates (query_id, query, chunk_id, chunk_text, title, section, page_start, block_count,
     depth and the scores embedding, keyword, bm25, title_score, section_score, coverage). Signals need no join."""
-    text, section, query = F.col("chunk_text"), F.col("section"), Q.normalize_mixed(F.col("query"))
-    intent, few = Q.intent(F.col("query")), F.size(Q.terms(F.col("query"))) <= 2
+    text, section, query, intent = F.col("chunk_text"), F.col("section"), F.col("_query"), F.col("_intent")
+    # columns first: as parts of the score each of its branches would lower the text and count again
+    own = df.columns
+    df = df.withColumns({"_query": Q.normalize_mixed(F.col("query")), "_intent": Q.intent(F.col("query")), "_few": F.size(Q.terms(F.col("query"))) <= 2, "_low": F.lower(F.concat(text, F.lit(" "), text)), "_low_section": F.lower(section)})
+    df = df.withColumns({
+        "_numeric": S.numeric_hits(text, text), "_narrative": S.hits(F.col("_low"), S.FINANCE_WORDS), "_causal": S.hits(F.col("_low"), S.CAUSAL), "_intents": S.intent_hits(F.col("_low"), F.col("_low_section")),
+        "_diversity": page_diversity(df),
+    })
+    few = F.col("_few")
     ratio = (intent == "numeric_fact") & Q.contains_any(F.lower(query), ["quick ratio", "current ratio", "liquidity", "working capital"])
     short = (WEIGHTS[0] - 0.05, WEIGHTS[1] + 0.03, WEIGHTS[2] + 0.02, WEIGHTS[3], WEIGHTS[4])
     weight = lambda i: F.when(ratio, RATIO_WEIGHTS[i]).when(few, short[i]).otherwise(WEIGHTS[i])
@@ -44,17 +51,17 @@ def fused_score(df: DataFrame) -> DataFrame:
         0.08 * F.col("coverage"),
         F.when(lexical, 0.06).otherwise(0.0),
         S.metadata_bonus(F.col("block_count"), F.col("depth"), F.lit(False), F.lit(False)),
-        S.narrative_bonus(text, text, section),
-        page_diversity(df),
-        S.causal_bonus(text, text, query),
-        S.numeric_density(text, text),
+        S.narrative_bonus(text, text, section, F.col("_narrative")),
+        F.col("_diversity"),
+        S.causal_bonus(text, text, query, F.col("_causal")),
+        S.numeric_density(text, text, F.col("_numeric")),
         S.table_like(text, section),
-        S.intent_match(text, text, section, intent),
+        S.intent_match(text, text, section, intent, F.col("_intents")),
         S.ratio_boost(text, section, query),
         S.noise_penalty(text, section),
         -S.length_penalty(text),
     ]
-    return df.withColumn("final_score", F.round(reduce(lambda a, b: a + b, parts), 6))
+    return df.withColumn("final_score", F.round(reduce(lambda a, b: a + b, parts), 6)).drop(*(c for c in df.columns if c not in own))
 
 
 def smoothed_pages(df: DataFrame, alpha: float = ALPHA) -> DataFrame:

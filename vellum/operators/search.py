@@ -235,9 +235,9 @@ def prefix_hit(term: Column, low: Column) -> Column:
 
 def whole_words(terms: Column, low: Column) -> Column:
     """Those of the (distinct) terms that are whole words of a lower case text. Terms of letters, digits and underscores are looked up
-    among the text's words at once; only the others need a pattern each."""
+    among the text's words at once; only the others that the text holds need a pattern each."""
     plain = F.array_intersect(terms, F.split(low, "[^a-z0-9_]+"))
-    return F.concat(plain, F.filter(F.filter(terms, lambda t: ~t.rlike("^[a-z0-9_]+$")), lambda t: whole_word(t, low)))
+    return F.concat(plain, F.filter(terms, lambda t: F.contains(low, t) & ~t.rlike("^[a-z0-9_]+$") & whole_word(t, low)))
 
 
 def term_occurrences(pairs: DataFrame) -> DataFrame:
@@ -253,8 +253,9 @@ def keyword_components(pairs: DataFrame) -> DataFrame:
     queries without terms go. A projection: nothing is shuffled.
 
     A term counts in a field once for each of title and section where it is a whole word, provided the field holds it."""
-    terms, low = F.col("_terms"), {c: F.lower(c) for c in ("chunk_text", "title", "section")}
+    terms, low = F.col("_terms"), {c: F.col(f"_low_{c}") for c in ("chunk_text", "title", "section")}
     each = pairs.withColumn("_terms", Q.terms(F.col("query"))).filter(F.size("_terms") > 0)
+    each = each.withColumns({f"_low_{c}": F.lower(c) for c in low})  # columns, so that no term lowers its text again
     each = each.withColumns({"_title": whole_words(terms, low["title"]), "_section": whole_words(terms, low["section"]), "_n": F.size(terms)})
     within = lambda words, field: F.size(F.filter(words, lambda t: F.contains(low[field], t)))
 
@@ -264,4 +265,4 @@ def keyword_components(pairs: DataFrame) -> DataFrame:
 
     coverage = F.size(whole_words(terms, low["chunk_text"])) / F.col("_n")
     scored = each.withColumns({"coverage_score": coverage, "title_score": hit("title"), "section_score": hit("section")})
-    return scored.withColumn("keyword_score", F.col("coverage_score") / 2).drop("_terms", "_title", "_section", "_n")
+    return scored.withColumn("keyword_score", F.col("coverage_score") / 2).drop("_terms", "_title", "_section", "_n", *(f"_low_{c}" for c in low))
